@@ -164,6 +164,21 @@ def select_features(columns: Sequence[str], max_features: int = 20) -> list[str]
     return chosen[:max_features]
 
 
+def model_features(df: DataFrame, max_features: int = 20, ts: str = "ts", **layout) -> DataFrame:
+    """Keys, time and the model's features, computing only what the selection can pick."""
+    keys = layout.get("keys", KEYS)
+    lead = [v for v in numeric_columns(df, exclude=keys) if v in C.BASE_FEATURES[:3]]
+
+    def make(w):
+        return {
+            **calendar.cyclic(ts), **lag_features(lead, w, [1, 2]), **cumulative_features(lead, w, [4]),
+            **difference_features(lead, w, [1]), **weather_features(df.columns, w),
+        }
+
+    wide = over_series(df, make, C.PRESSURE_TENDENCY_STEPS, ts=ts, **layout)
+    return model_frame(wide, max_features, keys, ts)
+
+
 def model_frame(df: DataFrame, max_features: int = 20, keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
     """Keys, time and the selected features."""
     return df.select(*keys, ts, *select_features(df.columns, max_features))
