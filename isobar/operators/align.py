@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isobar import constants as C
 from isobar.functions.physics import clip_columns
-from isobar.functions.timegrid import floor_to, from_seconds, plus_seconds, seconds
+from isobar.functions.timegrid import floor_to, plus_seconds, seconds, sql_floor, sql_plus, sql_seconds
 from isobar.operators import series
 
 KEYS = ["location_id"]
@@ -33,33 +33,27 @@ def all_timestamps(sources: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts:
 
 def _bounds(ext: DataFrame, keys: Sequence[str], step: int, anchor: str) -> DataFrame:
     """Positions covered per key, counted in steps from ``_origin``."""
-    if anchor == "start":
-        origin = F.col("start_ts")
-    elif anchor == "midnight":
-        origin = floor_to("start_ts", step)
-    else:
+    origins = {"start": "start_ts", "midnight": sql_floor("start_ts", step)}
+    if anchor not in origins:
         raise ValueError(f"anchor must be 'start' or 'midnight', not {anchor!r}")
-    span = seconds(F.col("end_ts")) - seconds(F.col("_origin"))
-    exact = plus_seconds(F.col("_origin"), F.floor(span / step) * step) > F.col("end_ts")
-    return (
-        ext.withColumn("_origin", origin)
-        .withColumn("_first", F.lit(0).cast("long"))
-        .withColumn("_last", F.floor(span / step).cast("long") - exact.cast("long"))
-        .drop("start_ts", "end_ts")
-    )
+    steps = f"(({sql_seconds('end_ts')} - {sql_seconds('_origin')}) div {step})"
+    # A fraction of a second can put the last grid point just behind the end.
+    beyond = f"IF({sql_plus('_origin', f'{steps} * {step}')} > end_ts, 1, 0)"
+    others = [c for c in ext.columns if c not in (*keys, "start_ts", "end_ts")]
+    return ext.withColumn("_origin", F.expr(origins[anchor])).selectExpr(
+        *keys, "_origin", "0L AS _first", f"{steps} - {beyond} AS _last", *others)
 
 
 def spine(ext: DataFrame, keys: Sequence[str] = KEYS, step: int = C.STEP_SECONDS, anchor: str = "start",
           chunk: int = series.CHUNK) -> DataFrame:
     """All grid timestamps from ``start_ts`` to ``end_ts`` of each key, both ends included."""
-    first = F.col(series.CHUNK_COL) * chunk
-    last = F.least(F.col("_last"), first + (chunk - 1))
+    c = series.CHUNK_COL
     return (
         _bounds(ext, keys, step, anchor)
-        .withColumn(series.CHUNK_COL, F.explode(F.sequence(F.lit(0).cast("long"), series.chunk_of("_last", chunk))))
-        .repartition(*keys, series.CHUNK_COL)
-        .withColumn("_tick", F.explode(F.sequence(first, last)))
-        .select(*keys, plus_seconds(F.col("_origin"), F.col("_tick") * step).alias("ts"))
+        .selectExpr("*", f"explode(sequence(0L, {series.sql_chunk('_last', chunk)})) AS {c}")
+        .repartition(*keys, c)
+        .selectExpr(*keys, "_origin", f"explode(sequence({c} * {chunk}, least(_last, {c} * {chunk} + {chunk - 1}))) AS _tick")
+        .selectExpr(*keys, f"{_sql_grid_time(step)} AS ts")
     )
 
 
@@ -70,11 +64,11 @@ def reindex(grid: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, ts:
 
 def on_grid(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], ts: str, step: int) -> DataFrame:
     """Rows whose timestamp is exactly a grid point, with ``_tick`` and the columns of ``bounds``."""
-    tick = F.floor((seconds(F.col(ts)) - seconds(F.col("_origin"))) / step).cast("long")
+    tick = f"cast(floor(({sql_seconds(ts)} - {sql_seconds('_origin')}) / {step}) as bigint)"
     return (
         rows.join(bounds, list(keys))
-        .withColumn("_tick", tick)
-        .filter(plus_seconds(F.col("_origin"), F.col("_tick") * step) == F.col(ts))
+        .withColumn("_tick", F.expr(tick))
+        .filter(f"{_sql_grid_time(step)} = {ts}")
     )
 
 
@@ -85,12 +79,12 @@ def snapped(df: DataFrame, snap: str | None, keys: Sequence[str] = KEYS, ts: str
         return df
     if snap not in ("floor", "nearest"):
         raise ValueError(f"snap must be None, 'floor' or 'nearest', not {snap!r}")
-    shifted = F.col(ts) if snap == "floor" else plus_seconds(F.col(ts), F.lit(step // 2))
+    shifted = ts if snap == "floor" else sql_plus(ts, str(step // 2))
     values = [c for c in df.columns if c not in (*keys, ts)]
     return (
         df.withColumn("_cell", floor_to(shifted, step))
         .groupBy(*keys, F.col("_cell"))
-        .agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(ts))).alias(v) for v in values])
+        .agg(*[F.expr(f"max_by({v}, CASE WHEN {v} IS NOT NULL THEN {ts} END) AS {v}") for v in values])
         .withColumnRenamed("_cell", ts)
         .select(*df.columns)
     )
@@ -102,8 +96,8 @@ def _on_spine(placed: DataFrame, bounds: DataFrame, values: Sequence[str], keys:
     return series.neighbours(placed, keys, "_tick", values, chunk, bounds, ["_origin"])
 
 
-def _grid_time(step: int) -> Column:
-    return plus_seconds(F.col("_origin"), F.col("_tick") * step)
+def _sql_grid_time(step: int) -> str:
+    return sql_plus("_origin", f"_tick * {step}")
 
 
 def upsample(df: DataFrame, values: Sequence[str], limits: Mapping | None = None, keys: Sequence[str] = KEYS,
@@ -114,8 +108,8 @@ def upsample(df: DataFrame, values: Sequence[str], limits: Mapping | None = None
     """
     bounds = _bounds(extents([df], keys, ts).withColumn("end_ts", floor_to("end_ts", step)), keys, step, "midnight")
     around = _on_spine(on_grid(df, bounds, keys, ts, step), bounds, values, keys, chunk)
-    filled = around.select(
-        *keys, _grid_time(step).alias(ts), *[series.interpolated(v, "_tick").alias(v) for v in values],
+    filled = around.selectExpr(
+        *keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{series.sql_interpolated(v, '_tick')} AS {v}" for v in values],
     )
     return clip_columns(filled, C.LIMITS if limits is None else limits)
 
@@ -129,17 +123,17 @@ def interpolate(df: DataFrame, values: Sequence[str], limit: int | None = 4, key
     takes the first known value for leading gaps, "zero" also puts 0 where nothing is known at all.
     """
     numbered = series.row_positions(
-        df.select(*keys, ts, *values), keys, [F.col(ts)], F.floor(seconds(F.col(ts)) / bucket_seconds), "_pos",
+        df.select(*keys, ts, *values), keys, [F.col(ts)], series.chunk_of(sql_seconds(ts), bucket_seconds), "_pos",
     )
     around = series.neighbours(numbered, keys, "_pos", values, chunk, carried=[ts])
-    return around.select(*keys, ts, *[_filled(v, "_pos", limit, fill).alias(v) for v in values])
+    return around.selectExpr(*keys, ts, *[f"{_sql_filled(v, '_pos', limit, fill)} AS {v}" for v in values])
 
 
-def _filled(v: str, pos: str, limit: int | None, fill: str) -> Column:
+def _sql_filled(v: str, pos: str, limit: int | None, fill: str) -> str:
     if fill == "none":
-        return series.interpolated(v, pos, limit)
-    held = F.coalesce(series.interpolated_and_held(v, pos, limit), F.col(f"{v}__nv"))
-    return F.coalesce(held, F.lit(0.0)) if fill == "zero" else held
+        return series.sql_interpolated(v, pos, limit)
+    held = f"{series.sql_interpolated_and_held(v, pos, limit)}, {v}__nv"
+    return f"coalesce({held}, 0)" if fill == "zero" else f"coalesce({held})"
 
 
 def fill_gaps(df: DataFrame, values: Sequence[str], keys: Sequence[str] = KEYS, ts: str = "ts", zero: bool = False,
@@ -154,14 +148,14 @@ def regular_series(df: DataFrame, values: Sequence[str], limit: int | None = 4,
     """Spine, alignment and gap filling of one source."""
     bounds = _bounds(extents([df], keys, ts), keys, step, anchor)
     around = _on_spine(on_grid(df, bounds, keys, ts, step), bounds, values, keys, chunk)
-    return around.select(
-        *keys, _grid_time(step).alias(ts), *[_filled(v, "_tick", limit, fill).alias(v) for v in values],
+    return around.selectExpr(
+        *keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{_sql_filled(v, '_tick', limit, fill)} AS {v}" for v in values],
     )
 
 
 def availability(rows: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Whether a key has any value in each column, as ``has_{column}``."""
-    return rows.groupBy(*keys).agg(*[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in columns])
+    return rows.groupBy(*keys).agg(*[F.expr(f"bool_or({c} IS NOT NULL) AS has_{c}") for c in columns])
 
 
 def stack_sources(sources: Mapping[str, DataFrame], keys: Sequence[str] = KEYS, ts: str = "ts") -> DataFrame:
@@ -169,7 +163,7 @@ def stack_sources(sources: Mapping[str, DataFrame], keys: Sequence[str] = KEYS,
     parts = []
     for name, df in sources.items():
         known = [v for v in C.SOURCE_VARIABLES[name] if v in df.columns]
-        parts.append(df.select(*keys, ts, *[F.col(v).cast("double").alias(f"{name}_{v}") for v in known]))
+        parts.append(df.selectExpr(*keys, ts, *[f"cast({v} as double) AS {name}_{v}" for v in known]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -184,12 +178,9 @@ def candidates(columns: Sequence[str]) -> dict[str, list[str]]:
     return found
 
 
-def prefer_available(names: Sequence[str]) -> Column:
+def sql_prefer_available(names: Sequence[str]) -> str:
     """The first column that its key has at all; needs the flags of ``availability``."""
-    chosen = F.when(F.col(f"has_{names[0]}"), F.col(names[0]))
-    for n in names[1:]:
-        chosen = chosen.when(F.col(f"has_{n}"), F.col(n))
-    return chosen
+    return "CASE " + " ".join(f"WHEN has_{n} THEN {n}" for n in names) + " END"
 
 
 def unify(sources: Mapping[str, DataFrame], limit: int | None = 4, mode: str = "column",
@@ -208,40 +199,38 @@ def unify(sources: Mapping[str, DataFrame], limit: int | None = 4, mode: str = "
 
     facts = rows.groupBy(*keys).agg(
         F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"),
-        *[F.bool_or(F.col(c).isNotNull()).alias(f"has_{c}") for c in used],
+        *[F.expr(f"bool_or({c} IS NOT NULL) AS has_{c}") for c in used],
     )
     bounds = _bounds(facts, keys, step, anchor)
     placed = on_grid(rows, bounds, keys, ts, step)
     if mode == "row":
         around = _on_spine(placed, bounds, used, keys, chunk)
-        final = {t: _first_known(names, limit, fill) for t, names in choice.items()}
+        final = {t: _sql_first_known(names, limit, fill) for t, names in choice.items()}
     elif mode == "column":
-        picked = placed.select(
-            *keys, "_origin", "_tick", *[prefer_available(names).alias(t) for t, names in choice.items()],
+        picked = placed.selectExpr(
+            *keys, "_origin", "_tick", *[f"{sql_prefer_available(names)} AS {t}" for t, names in choice.items()],
         )
         around = _on_spine(picked, bounds, list(choice), keys, chunk)
-        final = {t: _filled(t, "_tick", limit, "both" if fill else "none") for t in choice}
+        final = {t: _sql_filled(t, "_tick", limit, "both" if fill else "none") for t in choice}
     else:
         raise ValueError(f"mode must be 'column' or 'row', not {mode!r}")
-    return around.select(*keys, _grid_time(step).alias(ts), *[e.alias(t) for t, e in final.items()])
+    return around.selectExpr(*keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{e} AS {t}" for t, e in final.items()])
 
 
-def _first_known(names: Sequence[str], limit: int | None, fill: bool) -> Column:
-    here = F.coalesce(*[series.interpolated(n, "_tick", limit) for n in names])
+def _sql_first_known(names: Sequence[str], limit: int | None, fill: bool) -> str:
+    here = ", ".join(series.sql_interpolated(n, "_tick", limit) for n in names)
     if not fill:
-        return here
+        return f"coalesce({here})"
     # The last position each column reaches, and what it holds there; ties go to the preferred column.
     held, ahead = [], []
     for rank, n in enumerate(names):
-        pp, np_ = F.col(f"{n}__pp"), F.col(f"{n}__np")
-        reach = F.col("_tick") if limit is None else F.least(F.col("_tick"), pp + limit)
-        held.append(F.when(pp.isNotNull(), F.struct(
-            reach.alias("at"), F.lit(-rank).alias("rank"), series.interpolated_and_held(n, "_tick", limit).alias("v"))))
-        ahead.append(F.when(np_.isNotNull(), F.struct(
-            np_.alias("at"), F.lit(rank).alias("rank"), F.col(f"{n}__nv").alias("v"))))
+        reach = "_tick" if limit is None else f"least(_tick, {n}__pp + {limit})"
+        value = series.sql_interpolated_and_held(n, "_tick", limit)
+        held.append(f"CASE WHEN {n}__pp IS NOT NULL THEN named_struct('at', {reach}, 'rank', {-rank}, 'v', {value}) END")
+        ahead.append(f"CASE WHEN {n}__np IS NOT NULL THEN named_struct('at', {n}__np, 'rank', {rank}, 'v', {n}__nv) END")
     if len(names) == 1:
-        return F.coalesce(here, held[0]["v"], ahead[0]["v"])
-    return F.coalesce(here, F.greatest(*held)["v"], F.least(*ahead)["v"])
+        return f"coalesce({here}, ({held[0]}).v, {names[0]}__nv)"
+    return f"coalesce({here}, greatest({', '.join(held)}).v, least({', '.join(ahead)}).v)"
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, min_rows: int = 20, keys: Sequence[str] = KEYS,
@@ -264,7 +253,7 @@ def stack_locations(frames: Mapping[str, DataFrame], key: str = "location_id") -
 def recent(df: DataFrame, reference: Column, hours: float, min_rows: int = 0, keys: Sequence[str] = KEYS,
            ts: str = "ts", until_reference: bool = True) -> DataFrame:
     """Rows of the last hours before a reference time, for keys that have enough of them."""
-    since = F.col(ts) >= plus_seconds(reference, F.lit(int(-hours * 3600)))
+    since = F.col(ts) >= plus_seconds(reference, int(-hours * 3600))
     window = df.filter(since & (F.col(ts) <= reference)) if until_reference else df.filter(since)
     if min_rows <= 0:
         return window

@@ -10,7 +10,7 @@ from pyspark.sql.types import NumericType
 
 from isobar import constants as C
 from isobar.functions import calendar, categories, physics
-from isobar.functions.timegrid import seconds
+from isobar.functions.timegrid import sql_seconds
 from isobar.operators import series
 
 KEYS = ["location_id"]
@@ -21,62 +21,113 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-def _full(v: str, frame, agg: Column, n: int) -> Column:
-    """A moving aggregate that is empty until all n values are known."""
-    return F.when(F.count(v).over(frame) == n, agg.over(frame))
+# Moving statistics up to this length are worked out from the single earlier values, all in one
+# generated projection; longer ones use window frames.
+UNROLLED = 48
 
 
-def lag_features(variables: Sequence[str], w, lags: Sequence[int] = C.LAGS) -> dict[str, Column]:
-    return {f"{v}_lag_{k}": F.lag(v, k).over(w) for v in variables for k in lags}
+class History:
+    """Earlier values of a series. Each value or statistic asked for becomes one window column.
 
+    Expressions are SQL text.
+    """
 
-def rolling_features(variables: Sequence[str], w, windows: Sequence[int] = C.WINDOWS) -> dict[str, Column]:
-    out = {}
-    for v in variables:
-        for n in windows:
-            frame = w.rowsBetween(-(n - 1), 0)
-            out[f"{v}_rolling_mean_{n}"] = _full(v, frame, F.avg(v), n)
-            out[f"{v}_rolling_std_{n}"] = _full(v, frame, F.stddev_samp(v), n)
-            out[f"{v}_rolling_min_{n}"] = _full(v, frame, F.min(v), n)
-            out[f"{v}_rolling_max_{n}"] = _full(v, frame, F.max(v), n)
-    return out
+    def __init__(self):
+        self.columns: dict[str, tuple[str, int | None]] = {}
+        self.sums: dict[str, str] = {}
+
+    def total(self, v: str, n: int) -> str:
+        """Sum of the last n values, empty until all are known; worked out once for all its users."""
+        name = f"_{v}_total_{n}"
+        self.sums[name] = " + ".join(self.back(v, k) for k in range(n))
+        return name
+
+    def back(self, v: str, k: int) -> str:
+        """Value k rows earlier."""
+        if k == 0:
+            return v
+        name = f"_{v}_back_{k}"
+        self.columns[name] = (f"lag({v}, {k})", None)
+        return name
+
+    def framed(self, v: str, agg: str, n: int) -> str:
+        """An aggregate of the last n rows."""
+        name = f"_{v}_{agg}_{n}"
+        self.columns[name] = (f"{agg}({v})", n)
+        return name
+
+    def window_columns(self, keys: Sequence[str], pos: str) -> list[str]:
+        over = f"PARTITION BY {', '.join(keys)}, {series.CHUNK_COL} ORDER BY {pos}"
+        return [
+            f"{e} OVER ({over}{'' if n is None else f' ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW'}) AS {name}"
+            for name, (e, n) in self.columns.items()
+        ]
+
+
+AGGREGATES = {"sum": "sum", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
+
+
+def _moving(h: History, v: str, n: int, what: str) -> str:
+    """A statistic of the last n values; empty until all of them are known."""
+    if n > UNROLLED:
+        return f"CASE WHEN {h.framed(v, 'count', n)} = {n} THEN {h.framed(v, AGGREGATES[what], n)} END"
+    values = [h.back(v, k) for k in range(n)]
+    total = h.total(v, n)
+    if what == "sum":
+        return total
+    if what == "mean":
+        return f"{total} / {n}"
+    if what == "std":
+        if n == 1:
+            return "cast(NULL as double)"
+        squares = " + ".join(f"power({x} - {total} / {n}, 2)" for x in values)
+        return f"sqrt(({squares}) / {n - 1})"
+    extreme = values[0] if n == 1 else f"{'least' if what == 'min' else 'greatest'}({', '.join(values)})"
+    return f"CASE WHEN {total} IS NOT NULL THEN {extreme} END"
+
+
+def lag_features(variables: Sequence[str], h: History, lags: Sequence[int] = C.LAGS) -> dict[str, str]:
+    return {f"{v}_lag_{k}": h.back(v, k) for v in variables for k in lags}
+
+
+def rolling_features(variables: Sequence[str], h: History, windows: Sequence[int] = C.WINDOWS) -> dict[str, str]:
+    return {
+        f"{v}_rolling_{what}_{n}": _moving(h, v, n, what)
+        for v in variables for n in windows for what in ("mean", "std", "min", "max")
+    }
 
 
-def cumulative_features(variables: Sequence[str], w, periods: Sequence[int] = C.WINDOWS) -> dict[str, Column]:
-    out = {}
-    for v in variables:
-        for n in periods:
-            frame = w.rowsBetween(-(n - 1), 0)
-            out[f"{v}_cumsum_{n}"] = _full(v, frame, F.sum(v), n)
-            out[f"{v}_cummean_{n}"] = _full(v, frame, F.avg(v), n)
-    return out
+def cumulative_features(variables: Sequence[str], h: History, periods: Sequence[int] = C.WINDOWS) -> dict[str, str]:
+    return {
+        f"{v}_{name}_{n}": _moving(h, v, n, what)
+        for v in variables for n in periods for name, what in (("cumsum", "sum"), ("cummean", "mean"))
+    }
 
 
-def difference_features(variables: Sequence[str], w, diffs: Sequence[int] = C.DIFFS) -> dict[str, Column]:
+def difference_features(variables: Sequence[str], h: History, diffs: Sequence[int] = C.DIFFS) -> dict[str, str]:
     out = {}
     for v in variables:
         for d in diffs:
-            change = F.col(v) - F.lag(v, d).over(w)
-            out[f"{v}_diff_{d}"] = change
-            out[f"{v}_rate_{d}"] = change / d
+            out[f"{v}_diff_{d}"] = f"{v} - {h.back(v, d)}"
+            out[f"{v}_rate_{d}"] = f"({v} - {h.back(v, d)}) / {d}"
     return out
 
 
-def pressure_tendency(w, v: str = C.PRESSURE, steps: int = C.PRESSURE_TENDENCY_STEPS) -> dict[str, Column]:
-    return {"pressure_change_3h": F.col(v) - F.lag(v, steps).over(w)}
+def pressure_tendency(h: History, v: str = C.PRESSURE, steps: int = C.PRESSURE_TENDENCY_STEPS) -> dict[str, str]:
+    return {"pressure_change_3h": f"{v} - {h.back(v, steps)}"}
 
 
-def weather_features(columns: Sequence[str], w) -> dict[str, Column]:
+def weather_features(columns: Sequence[str], h: History) -> dict[str, Column | str]:
     """Weather-specific features for the variables that exist, in output order."""
-    t, h, v = F.col(C.TEMP), F.col(C.HUMIDITY), F.col(C.WIND_SPEED)
+    t, rh, v = F.col(C.TEMP), F.col(C.HUMIDITY), F.col(C.WIND_SPEED)
     out = {}
     if C.TEMP in columns and C.HUMIDITY in columns:
-        out["heat_index"] = physics.heat_index(t, h)
-        out["dewpoint_approx"] = physics.dewpoint(t, h)
+        out["heat_index"] = physics.heat_index(t, rh)
+        out["dewpoint_approx"] = physics.dewpoint(t, rh)
     if C.TEMP in columns and C.WIND_SPEED in columns:
         out["wind_chill"] = physics.wind_chill(t, v)
     if C.PRESSURE in columns:
-        out.update(pressure_tendency(w))
+        out.update(pressure_tendency(h))
     if C.PRECIP in columns:
         intensity = physics.hourly_intensity(F.col(C.PRECIP))
         out["precip_intensity"] = intensity
@@ -89,23 +140,25 @@ def weather_features(columns: Sequence[str], w) -> dict[str, Column]:
 def over_series(df: DataFrame, make, before: int, keys: Sequence[str] = KEYS, ts: str = "ts",
                 regular: bool = False, step: int = C.STEP_SECONDS, chunk: int = series.CHUNK,
                 bucket_seconds: int = 30 * 86400) -> DataFrame:
-    """Add columns that look back at most ``before`` rows; ``make(window)`` returns them by name.
+    """Add columns that look back at most ``before`` rows; ``make(history)`` returns them by name.
 
     With ``regular`` every key has a row at each step, so that a row's position follows from its
     time. Otherwise rows are numbered first, which costs one more shuffle.
     """
     names = df.columns
     if regular:
-        placed = df.withColumn("_pos", F.floor(seconds(F.col(ts)) / step).cast("long"))
+        placed = df.withColumn("_pos", series.chunk_of(sql_seconds(ts), step))
     else:
-        bucket = F.floor(seconds(F.col(ts)) / bucket_seconds)
+        bucket = series.chunk_of(sql_seconds(ts), bucket_seconds)
         placed = series.row_positions(df, keys, [F.col(ts)], bucket, "_pos")
-    w = series.chunk_window(keys, "_pos")
-    added = make(w)
-    wide = series.with_halo(placed, keys, "_pos", before, chunk=chunk).select(
-        *names, "_pos", series.CHUNK_COL, *[e.alias(n) for n, e in added.items()],
+    history = History()
+    added = make(history)
+    wide = series.with_halo(placed, keys, "_pos", before, chunk=chunk).selectExpr(
+        *names, "_pos", series.CHUNK_COL, *history.window_columns(keys, "_pos"),
     )
-    return series.drop_halo(wide, "_pos", chunk).select(*names, *added)
+    wide = series.drop_halo(wide, "_pos", chunk).selectExpr("*", *[f"{e} AS {n}" for n, e in history.sums.items()])
+    shown = [F.expr(f"{e} AS {n}") if isinstance(e, str) else e.alias(n) for n, e in added.items()]
+    return wide.select(*names, *shown)
 
 
 def moving_features(df: DataFrame, variables: Sequence[str], families: Sequence[str] = ("lag", "rolling", "cumulative", "difference"),
@@ -114,16 +167,16 @@ def moving_features(df: DataFrame, variables: Sequence[str], families: Sequence[
     """The named feature families for the variables that exist."""
     known = [v for v in variables if v in df.columns]
     build = {
-        "lag": (lambda w: lag_features(known, w, lags), max(lags)),
-        "rolling": (lambda w: rolling_features(known, w, windows), max(windows) - 1),
-        "cumulative": (lambda w: cumulative_features(known, w, periods), max(periods) - 1),
-        "difference": (lambda w: difference_features(known, w, diffs), max(diffs)),
+        "lag": (lambda h: lag_features(known, h, lags), max(lags)),
+        "rolling": (lambda h: rolling_features(known, h, windows), max(windows) - 1),
+        "cumulative": (lambda h: cumulative_features(known, h, periods), max(periods) - 1),
+        "difference": (lambda h: difference_features(known, h, diffs), max(diffs)),
     }
 
-    def make(w):
+    def make(h):
         out = {}
         for f in families:
-            out.update(build[f][0](w))
+            out.update(build[f][0](h))
         return out
 
     return over_series(df, make, max(build[f][1] for f in families), **layout)
@@ -139,11 +192,11 @@ def all_features(df: DataFrame, variables: Sequence[str] | None = None, ts: str
         variables = numeric_columns(df, exclude=keys)
     known = [v for v in variables if v in df.columns]
 
-    def make(w):
+    def make(h):
         return {
             **calendar.temporal(ts),
-            **lag_features(known, w), **rolling_features(known, w), **cumulative_features(known, w),
-            **difference_features(known, w), **weather_features(df.columns, w),
+            **lag_features(known, h), **rolling_features(known, h), **cumulative_features(known, h),
+            **difference_features(known, h), **weather_features(df.columns, h),
         }
 
     return over_series(df, make, max(C.PRESSURE_TENDENCY_STEPS, *C.LAGS, *C.WINDOWS, *C.DIFFS), ts=ts, **layout)
@@ -169,10 +222,10 @@ def model_features(df: DataFrame, max_features: int = 20, ts: str = "ts", **layo
     keys = layout.get("keys", KEYS)
     lead = [v for v in numeric_columns(df, exclude=keys) if v in C.BASE_FEATURES[:3]]
 
-    def make(w):
+    def make(h):
         return {
-            **calendar.cyclic(ts), **lag_features(lead, w, [1, 2]), **cumulative_features(lead, w, [4]),
-            **difference_features(lead, w, [1]), **weather_features(df.columns, w),
+            **calendar.cyclic(ts), **lag_features(lead, h, [1, 2]), **cumulative_features(lead, h, [4]),
+            **difference_features(lead, h, [1]), **weather_features(df.columns, h),
         }
 
     wide = over_series(df, make, C.PRESSURE_TENDENCY_STEPS, ts=ts, **layout)

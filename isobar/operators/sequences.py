@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar import constants as C
-from isobar.functions.timegrid import seconds
+from isobar.functions.timegrid import sql_seconds
 from isobar.operators import series
 
 KEYS = ["location_id"]
@@ -29,9 +29,9 @@ def windows(df: DataFrame, features: Sequence[str], targets: Sequence[str] = C.T
     Values must be filled before; anything missing counts as 0.
     """
     if regular:
-        placed = df.withColumn("_pos", F.floor(seconds(F.col(ts)) / step).cast("long"))
+        placed = df.withColumn("_pos", series.chunk_of(sql_seconds(ts), step))
     else:
-        placed = series.row_positions(df, keys, [F.col(ts)], F.floor(seconds(F.col(ts)) / bucket_seconds), "_pos")
+        placed = series.row_positions(df, keys, [F.col(ts)], series.chunk_of(sql_seconds(ts), bucket_seconds), "_pos")
     w = series.chunk_window(keys, "_pos")
     before = w.rowsBetween(-(input_steps - 1), 0)
     after = w.rowsBetween(1, output_steps)
@@ -53,7 +53,7 @@ def windows(df: DataFrame, features: Sequence[str], targets: Sequence[str] = C.T
 
 
 def _vector(columns: Sequence[str]) -> Column:
-    return F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(0.0).cast("float")) for c in columns])
+    return F.expr("array(" + ", ".join(f"coalesce(cast({c} as float), 0F)" for c in columns) + ")")
 
 
 def long_targets(samples: DataFrame, targets: Sequence[str] = C.TARGETS) -> DataFrame:

@@ -20,9 +20,13 @@ CHUNK = 32_768
 CHUNK_COL = "_chunk"
 
 
-def chunk_of(pos: str | Column, size: float) -> Column:
-    pos = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor(pos / F.lit(size)).cast("long")
+def chunk_of(pos: str, size: float) -> Column:
+    """Chunk number of a position expression."""
+    return F.expr(sql_chunk(pos, size))
+
+
+def sql_chunk(pos: str, size: float) -> str:
+    return f"cast(floor(({pos}) / {size}) as bigint)"
 
 
 def row_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
@@ -55,11 +59,15 @@ def with_halo(df: DataFrame, keys: Sequence[str], pos: str = "pos", before: int
     A chunk sees ``before`` positions ahead of its first row and ``after`` positions behind its
     last one. Windows go over ``(*keys, "_chunk")``; ``drop_halo`` then removes the copies.
     """
-    p = F.col(pos)
-    first = chunk_of(p - after, chunk)
-    last = chunk_of(p + before, chunk)
-    spread = df.withColumn(CHUNK_COL, F.explode(F.sequence(first, last)))
-    return spread.repartition(*keys, CHUNK_COL)
+    chunks = f"sequence({sql_chunk(f'{pos} - {after}', chunk)}, {sql_chunk(f'{pos} + {before}', chunk)})"
+    spread = df.withColumn(CHUNK_COL, F.expr(f"explode({chunks})"))
+    return spread.repartition(_partitions(df), *keys, CHUNK_COL)
+
+
+def _partitions(df: DataFrame) -> int:
+    """The session's number of shuffle partitions, stated so that small-looking ones are not merged:
+    the rows of a chunk multiply after the shuffle, in number or in width."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def drop_halo(df: DataFrame, pos: str = "pos", chunk: int = CHUNK) -> DataFrame:
@@ -88,104 +96,89 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     """
     keys = list(keys)
     carried = list(carried)
+    groups = [*keys, CHUNK_COL]
+    by = ", ".join(groups)
     tagged = rows.select(*keys, pos, *carried, *values).withColumn(CHUNK_COL, chunk_of(pos, chunk))
 
-    edges = []
-    for v in values:
-        known_at = F.when(F.col(v).isNotNull(), F.col(pos))
-        edges += [
-            F.min(known_at).alias(f"{v}__fp"), F.min_by(v, known_at).alias(f"{v}__fv"),
-            F.max(known_at).alias(f"{v}__lp"), F.max_by(v, known_at).alias(f"{v}__lv"),
-        ]
-    markers = tagged.groupBy(*keys, CHUNK_COL).agg(*edges)
+    def known(v: str) -> str:
+        return f"CASE WHEN {v} IS NOT NULL THEN {pos} END"
+
+    markers = tagged.groupBy(*groups).agg(*[F.expr(e) for v in values for e in (
+        f"min({known(v)}) AS {v}__fp", f"min_by({v}, {known(v)}) AS {v}__fv",
+        f"max({known(v)}) AS {v}__lp", f"max_by({v}, {known(v)}) AS {v}__lv",
+    )])
     spine_cols = []
     if bounds is not None:
         spine_cols = ["_first", "_last", *carried]
-        stretches = bounds.select(
-            *keys, *spine_cols,
-            F.explode(F.sequence(chunk_of("_first", chunk), chunk_of("_last", chunk))).alias(CHUNK_COL),
-        )
-        markers = stretches.join(markers, [*keys, CHUNK_COL], "left")
-
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK_COL)).rowsBetween(Window.unboundedPreceding, -1)
-    outside = []
-    for v in values:
-        outside += [
-            F.last(f"{v}__lp", True).over(earlier).alias(f"{v}__pp"),
-            F.last(f"{v}__lv", True).over(earlier).alias(f"{v}__pv"),
-            F.last(f"{v}__fp", True).over(later).alias(f"{v}__np"),
-            F.last(f"{v}__fv", True).over(later).alias(f"{v}__nv"),
-        ]
-    markers = markers.select(*keys, CHUNK_COL, *spine_cols, *outside, F.lit(True).alias("_marker"))
+        covered = f"explode(sequence({sql_chunk('_first', chunk)}, {sql_chunk('_last', chunk)})) AS {CHUNK_COL}"
+        markers = bounds.selectExpr(*keys, *spine_cols, covered).join(markers, groups, "left")
+
+    past = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    earlier = f"(PARTITION BY {', '.join(keys)} ORDER BY {CHUNK_COL} {past})"
+    later = f"(PARTITION BY {', '.join(keys)} ORDER BY {CHUNK_COL} DESC {past})"
+    markers = markers.selectExpr(*groups, *spine_cols, "true AS _marker", *[e for v in values for e in (
+        f"last({v}__lp, true) OVER {earlier} AS {v}__pp", f"last({v}__lv, true) OVER {earlier} AS {v}__pv",
+        f"last({v}__fp, true) OVER {later} AS {v}__np", f"last({v}__fv, true) OVER {later} AS {v}__nv",
+    )])
 
     together = (
         tagged.withColumn("_marker", F.lit(False))
         .unionByName(markers, allowMissingColumns=True)
-        .repartition(*keys, CHUNK_COL)
+        .repartition(_partitions(rows), *groups)
     )
 
-    types = {f.name: f.dataType for f in tagged.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in tagged.schema.fields}
 
-    def item(at: Column, keep: bool, **known: Column) -> Column:
-        return F.struct(
-            at.cast(types[pos]).alias("at"), F.lit(keep).alias("keep"),
-            *[known.get(v, F.lit(None)).cast(types[v]).alias(v) for v in values],
-        )
+    def item(place: str, keep: str, v: str | None = None, value: str = "") -> str:
+        fields = [f"'at', cast({place} as {types[pos]})", f"'keep', {keep}"]
+        fields += [f"'{x}', cast({value if x == v else 'NULL'} as {types[x]})" for x in values]
+        return f"named_struct({', '.join(fields)})"
 
-    extra = F.array(*[
-        item(F.col(f"{v}__{side}p"), False, **{v: F.col(f"{v}__{side}v")})
-        for v in values for side in ("p", "n")
-    ])
+    extra = "array(" + ", ".join(
+        item(f"{v}__{side}p", "false", v, f"{v}__{side}v") for v in values for side in ("p", "n")) + ")"
+    kept = "NOT _marker"
     if bounds is not None:
-        start = F.greatest(F.col("_first"), F.col(CHUNK_COL) * chunk)
-        end = F.least(F.col("_last"), F.col(CHUNK_COL) * chunk + (chunk - 1))
-        extra = F.concat(F.transform(F.sequence(start, end), lambda x: item(x, True)), extra)
-
-    kept = F.col("_item.keep") if bounds is not None else ~F.col("_marker")
+        start = f"greatest(_first, {CHUNK_COL} * {chunk})"
+        end = f"least(_last, {CHUNK_COL} * {chunk} + {chunk - 1})"
+        extra = f"concat(transform(sequence({start}, {end}), _x -> {item('_x', 'true')}), {extra})"
+        kept = "_marker AND _item.keep"
     merged = (
-        together.withColumn("_item", F.explode_outer(F.when(F.col("_marker"), extra)))
-        .select(
-            *keys, CHUNK_COL, *carried,
-            F.when(F.col("_marker"), F.col("_item.at")).otherwise(F.col(pos)).alias(pos),
-            F.coalesce(kept, F.lit(False)).alias("_keep"),
-            *[F.when(F.col("_marker"), F.col("_item")[v]).otherwise(F.col(v)).alias(v) for v in values],
+        together.selectExpr("*", f"explode_outer(CASE WHEN _marker THEN {extra} END) AS _item")
+        .selectExpr(
+            *groups, *carried, f"IF(_marker, _item.at, {pos}) AS {pos}", f"{kept} AS _keep",
+            *[f"IF(_marker, _item.{v}, {v}) AS {v}" for v in values],
         )
-        .filter(F.col(pos).isNotNull())
-        .groupBy(*keys, CHUNK_COL, pos)
-        .agg(F.max("_keep").alias("_keep"), *[F.max(c).alias(c) for c in [*carried, *values]])
+        .filter(f"{pos} IS NOT NULL")
+        .groupBy(*groups, pos)
+        .agg(*[F.expr(f"max({c}) AS {c}") for c in ("_keep", *carried, *values)])
     )
 
-    up = chunk_window(keys, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = chunk_window(keys, pos, descending=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    around = []
-    for v in values:
-        known_at = F.when(F.col(v).isNotNull(), F.col(pos))
-        around += [
-            F.last(known_at, True).over(up).alias(f"{v}__pp"), F.last(v, True).over(up).alias(f"{v}__pv"),
-            F.last(known_at, True).over(down).alias(f"{v}__np"), F.last(v, True).over(down).alias(f"{v}__nv"),
-        ]
+    through = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    up = f"(PARTITION BY {by} ORDER BY {pos} {through})"
+    down = f"(PARTITION BY {by} ORDER BY {pos} DESC {through})"
     return (
-        merged.select(*keys, pos, *carried, *values, "_keep", *around)
+        merged.selectExpr(*keys, pos, *carried, *values, "_keep", *[e for v in values for e in (
+            f"last({known(v)}, true) OVER {up} AS {v}__pp", f"last({v}, true) OVER {up} AS {v}__pv",
+            f"last({known(v)}, true) OVER {down} AS {v}__np", f"last({v}, true) OVER {down} AS {v}__nv",
+        )])
         .filter("_keep")
         .drop("_keep")
     )
 
 
-def interpolated(v: str, pos: str = "pos", limit: int | None = None) -> Column:
+def sql_interpolated(v: str, pos: str = "pos", limit: int | None = None) -> str:
     """Linear by position, forward only: a gap gets its first ``limit`` values, a trailing gap takes
-    the last value, a leading gap stays empty."""
-    p, pp, pv, np_, nv = (F.col(c) for c in (pos, f"{v}__pp", f"{v}__pv", f"{v}__np", f"{v}__nv"))
-    reach = pp.isNotNull() if limit is None else pp.isNotNull() & (p - pp <= limit)
-    return F.coalesce(F.col(v), F.when(reach, _line(p - pp, pp, pv, np_, nv)))
+    the last value, a leading gap stays empty. For rows of ``neighbours``."""
+    reach = f"{v}__pp IS NOT NULL" if limit is None else f"{pos} - {v}__pp <= {limit}"
+    return f"coalesce({v}, CASE WHEN {reach} THEN {_sql_line(v, f'({pos} - {v}__pp)')} END)"
 
 
-def interpolated_and_held(v: str, pos: str = "pos", limit: int | None = None) -> Column:
-    """``interpolated``, then forward fill: beyond the limit the last interpolated value holds."""
-    p, pp, pv, np_, nv = (F.col(c) for c in (pos, f"{v}__pp", f"{v}__pv", f"{v}__np", f"{v}__nv"))
-    steps = p - pp if limit is None else F.least(p - pp, F.lit(limit))
-    return F.coalesce(F.col(v), F.when(pp.isNotNull(), _line(steps, pp, pv, np_, nv)))
+def sql_interpolated_and_held(v: str, pos: str = "pos", limit: int | None = None) -> str:
+    """As ``sql_interpolated``, then forward fill: beyond the limit the last interpolated value holds."""
+    steps = f"({pos} - {v}__pp)" if limit is None else f"least({pos} - {v}__pp, {limit})"
+    return f"coalesce({v}, CASE WHEN {v}__pp IS NOT NULL THEN {_sql_line(v, steps)} END)"
 
 
-def _line(steps: Column, pp: Column, pv: Column, np_: Column, nv: Column) -> Column:
-    return F.when(np_.isNull(), pv).otherwise(pv + (nv - pv) * steps / (np_ - pp))
+def _sql_line(v: str, steps: str) -> str:
+    rise = f"({v}__nv - {v}__pv) * {steps} / ({v}__np - {v}__pp)"
+    return f"CASE WHEN {v}__np IS NULL THEN {v}__pv ELSE {v}__pv + {rise} END"

@@ -77,8 +77,8 @@ def _origins(unified: DataFrame, per_location: int, seed: int, chunk: int) -> Da
     ext = align.extents([unified])
     lead, tail = (C.INPUT_STEPS - 1) * C.STEP_SECONDS, C.OUTPUT_STEPS * C.STEP_SECONDS
     usable = align.spine(ext.select(
-        "location_id", align.plus_seconds(F.col("start_ts"), F.lit(lead)).alias("start_ts"),
-        align.plus_seconds(F.col("end_ts"), F.lit(-tail)).alias("end_ts"),
+        "location_id", align.plus_seconds(F.col("start_ts"), lead).alias("start_ts"),
+        align.plus_seconds(F.col("end_ts"), -tail).alias("end_ts"),
     ).filter(F.col("start_ts") <= F.col("end_ts")), chunk=chunk)
     return sequences.balance(usable.withColumnRenamed("ts", "origin_ts"), per_location, seed)
 
