@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from isobar import constants as C
+from isobar.functions.text import fixed
 
 
 def precip_class(mm_per_hour: Column) -> Column:
@@ -60,18 +61,19 @@ def confidence(probability: Column) -> Column:
 
 def table_line() -> Column:
     """Fixed-width text of a forecast step, from the columns of a formatted forecast."""
-    rain = F.format_string("%.1fmm", F.col("precipitation_mm"))
+    rain = F.concat(fixed(F.col("precipitation_mm"), 1), F.lit("mm"))
     return F.format_string(
-        "%10s | %5.1fC | %7s %8s | %4.0f%% | %4.1fm/s | %6.0fhPa | %4.0f%% | %s",
-        F.col("time"), F.col("temp"), rain, rain_label(F.col("precipitation_mm")), F.col("humidity"),
-        F.col("wind_speed"), F.col("pressure"), F.col("cloud_cover"), F.col("desc"),
+        "%10s | %5sC | %7s %8s | %4s%% | %4sm/s | %6shPa | %4s%% | %s",
+        F.col("time"), fixed(F.col("temp"), 1), rain, rain_label(F.col("precipitation_mm")), fixed(F.col("humidity"), 0),
+        fixed(F.col("wind_speed"), 1), fixed(F.col("pressure"), 0), fixed(F.col("cloud_cover"), 0), F.col("desc"),
     )
 
 
 def console_line() -> Column:
     """Narrower text of a forecast step, without clouds and rain label."""
-    rain = F.format_string("%.1fmm", F.greatest(F.col("precipitation_mm"), F.lit(0.0)))
+    rain = F.concat(fixed(F.greatest(F.col("precipitation_mm"), F.lit(0.0)), 1), F.lit("mm"))
     return F.format_string(
-        "%8s | %5.1fC | %7s | %4.0f%% | %4.1fm/s | %6.0fhPa | %s",
-        F.col("time"), F.col("temp"), rain, F.col("humidity"), F.col("wind_speed"), F.col("pressure"), F.col("desc"),
+        "%8s | %5sC | %7s | %4s%% | %4sm/s | %6shPa | %s",
+        F.col("time"), fixed(F.col("temp"), 1), rain, fixed(F.col("humidity"), 0), fixed(F.col("wind_speed"), 1),
+        fixed(F.col("pressure"), 0), F.col("desc"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from isobar import constants as C
 from isobar.functions import calendar, categories
+from isobar.functions.text import exact_round
 
 ROUNDED = {
     "temp": (C.TEMP, 1),
@@ -19,13 +20,13 @@ ROUNDED = {
 
 def format_forecast(scored: DataFrame, step: int = C.STEP_SECONDS) -> DataFrame:
     """One row per forecast step from (location_id, lat, lon, origin_ts, horizon, target variables)."""
-    rain = F.round(C.PRECIP, 2)
+    rain = exact_round(F.col(C.PRECIP), 2)
     stepwise = scored.select(
-        "location_id", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), "origin_ts", "horizon",
+        "location_id", exact_round(F.col("lat"), 3).alias("lat"), exact_round(F.col("lon"), 3).alias("lon"), "origin_ts", "horizon",
         calendar.horizon_label(F.col("horizon"), step).alias("time"),
         calendar.horizon_time(F.col("origin_ts"), F.col("horizon"), step).alias("timestamp"),
         F.when(rain < 0, F.lit(0.0)).otherwise(rain).alias("precipitation_mm"),
-        *[F.round(v, digits).alias(name) for name, (v, digits) in ROUNDED.items()],
+        *[exact_round(F.col(v), digits).alias(name) for name, (v, digits) in ROUNDED.items()],
     )
     return stepwise.withColumn("desc", categories.description(
         F.col("temp"), F.col("precipitation_mm"), F.col("cloud_cover"), F.col("wind_speed")))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from isobar.functions.categories import confidence
 from isobar.functions.physics import clip
+from isobar.functions.text import exact_round
 
 HOURS = 6
+HOURLY = "array<struct<dt:bigint,pop:double,rain:struct<`1h`:double>>>"
 FALLBACK_PROBABILITY = 0.1
 
 
@@ -34,25 +36,28 @@ def hour_summary(hours: Column) -> dict[str, Column]:
 
 
 def probability() -> Column:
-    """Estimate from ``current`` and ``hourly``; missing numbers count as 0."""
+    """Estimate from ``current`` and ``hourly``; missing numbers count as 0.
+
+    Parts are added in a fixed order, since sums near the 0.3 threshold depend on it.
+    """
     current = F.col("current")
-    s = hour_summary(F.coalesce(next_hours(), F.array().cast("array<struct<dt:bigint,pop:double,rain:struct<`1h`:double>>>")))
+    hours = F.coalesce(next_hours(), F.from_json(F.lit("[]"), HOURLY))
+    s = hour_summary(hours)
     zero = F.lit(0.0)
-    now = (
-        F.when(rains(current["rain"]), 0.4).otherwise(zero)
-        + F.when(F.coalesce(current["humidity"], zero) > 80, 0.2).otherwise(zero)
-        + F.when(F.coalesce(current["clouds"], zero) > 70, 0.2).otherwise(zero)
-    )
-    mean_chance = F.when(s["n_hours"] > 0, s["pop_sum"] / s["n_hours"]).otherwise(zero)
-    ahead = s["rain_hours"] * 0.1 + mean_chance * 0.3 + F.when(s["pop_hours"] >= 3, 0.2).otherwise(zero)
-    return clip(now + ahead, 0.0, 1.0)
+    p = F.when(rains(current["rain"]), 0.4).otherwise(zero)
+    p = p + F.when(F.coalesce(current["humidity"], zero) > 80, 0.2).otherwise(zero)
+    p = p + F.when(F.coalesce(current["clouds"], zero) > 70, 0.2).otherwise(zero)
+    p = F.aggregate(hours, p, lambda a, h: a + F.when(rains(h["rain"]), 0.1).otherwise(zero))
+    p = p + F.when(s["n_hours"] > 0, s["pop_sum"] / s["n_hours"] * 0.3).otherwise(zero)
+    p = p + F.when(s["pop_hours"] >= 3, 0.2).otherwise(zero)
+    return clip(p, 0.0, 1.0)
 
 
 def rain_results(payloads: DataFrame) -> DataFrame:
     """One result per location with a payload."""
     p = F.col("_p")
     return payloads.withColumn("_p", probability()).select(
-        "location_id", F.round(p, 3).alias("rain_probability"), (p > 0.3).alias("will_rain_next_6h"),
+        "location_id", exact_round(p, 3).alias("rain_probability"), (p > 0.3).alias("will_rain_next_6h"),
         confidence(p).alias("confidence_level"), F.lit("real_time_estimator").alias("model_type"),
         F.col("current").alias("current_conditions"), next_hours().alias("hourly_forecast"),
     )
