@@ -18,6 +18,8 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("stage")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
