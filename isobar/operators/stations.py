@@ -2,31 +2,77 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar import constants as C
-from isobar.functions.physics import inverse_distance_weight, kmh_to_ms
+from isobar.functions.physics import great_circle_km, inverse_distance_weight, kmh_to_ms
 from isobar.operators.locations import within_radius
 
 
+FAN_OUT = 8
+DEEPEST = 6
+
+
 def nearest_stations(locations: DataFrame, stations: DataFrame, radius_km: float = 50, k: int = 5,
-                     salts: int = 1) -> DataFrame:
+                     salts: int = 1, capacity: int = 64) -> DataFrame:
     """Up to k stations within the radius of each location, with ``distance_km`` and ``rank``.
 
     Locations that share coordinates are searched once. Of stations at one place only the first k by
     name can be among the k nearest, so a pile of stations at one spot is cut to k before matching.
+
+    Locations are matched with cells of stations first. From the cells' counts and distances follows how
+    far the k-th station can be at most, and cells beyond that are dropped. Cells are split until
+    none holds more than ``capacity`` stations, so that a crowded area is not compared pair by pair.
     """
     spot = Window.partitionBy("latitude", "longitude").orderBy("station_id")
     distinct = stations.withColumn("_rn", F.row_number().over(spot)).filter(F.col("_rn") <= k).select(
-        "station_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+        "station_id", F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"))
     places = locations.select("lat", "lon").distinct().withColumn("_place", F.struct("lat", "lon"))
-    pairs = within_radius(places, distinct, radius_km, "_place", "station_id", salts)
+
+    root = math.degrees(radius_km / 2 / C.EARTH_RADIUS_KM)
+    depth = 0
+    while depth < DEEPEST:
+        size = root / FAN_OUT**depth
+        busiest = distinct.groupBy(F.expr(f"floor(_slat / {size})"), F.expr(f"floor(_slon / {size})")).count()
+        if (busiest.agg(F.max("count")).first()[0] or 0) <= capacity:
+            break
+        depth += 1
+    leaf = root / FAN_OUT**depth
+    placed = distinct.selectExpr("*", f"floor(_slat / {leaf}) AS _r", f"floor(_slon / {leaf}) AS _c")
+
+    def cells(level: int) -> DataFrame:
+        """Cells with stations, their number, and a point of each; ids of the level above as _pr, _pc."""
+        f = FAN_OUT ** (depth - level)
+        size = root / FAN_OUT**level
+        return (
+            placed.groupBy(F.expr(f"floor(_r / {f})").alias("_r"), F.expr(f"floor(_c / {f})").alias("_c"))
+            .agg(F.count(F.lit(1)).alias("_n"))
+            .selectExpr("_r", "_c", "_n", f"floor(_r / {FAN_OUT}) AS _pr", f"floor(_c / {FAN_OUT}) AS _pc",
+                        f"least(greatest((_r + 0.5D) * {size}D, -90D), 90D) AS _clat", f"(_c + 0.5D) * {size}D AS _clon")
+        )
+
+    reach = _reach(root)
+    top = cells(0).selectExpr("named_struct('r', _r, 'c', _c) AS _box", "_n", "_clat AS lat", "_clon AS lon")
+    front = within_radius(places, top, radius_km + reach, "_place", "_box", salts, keep=["_n"]).selectExpr(
+        "lat", "lon", "_box.r AS _r", "_box.c AS _c", "_n", "distance_km AS _km")
+    front = _possible(front, k, radius_km, reach)
+    for level in range(1, depth + 1):
+        inner = cells(level).withColumnsRenamed({"_r": "_nr", "_c": "_nc", "_pr": "_r", "_pc": "_c"})
+        km = great_circle_km(F.col("lat"), F.col("lon"), F.col("_clat"), F.col("_clon"))
+        front = front.drop("_n").join(inner, ["_r", "_c"]).select(
+            "lat", "lon", F.col("_nr").alias("_r"), F.col("_nc").alias("_c"), "_n", km.alias("_km"))
+        front = _possible(front, k, radius_km, _reach(root / FAN_OUT**level))
+
     by_distance = Window.partitionBy("lat", "lon").orderBy("distance_km", "station_id")
+    km = great_circle_km(F.col("lat"), F.col("lon"), F.col("_slat"), F.col("_slon"))
     best = (
-        pairs.select("lat", "lon", "station_id", "distance_km")
+        front.select("lat", "lon", "_r", "_c").join(placed, ["_r", "_c"])
+        .select("lat", "lon", "station_id", km.alias("distance_km"))
+        .filter(F.col("distance_km") <= radius_km)
         .withColumn("rank", F.row_number().over(by_distance))
         .filter(F.col("rank") <= k)
     )
@@ -34,6 +80,25 @@ def nearest_stations(locations: DataFrame, stations: DataFrame, radius_km: float
         "location_id", "station_id", "distance_km", "rank")
 
 
+def _reach(size: float) -> float:
+    """No point of a cell of this size in degrees is farther from the cell's own point."""
+    return 1.5 * C.EARTH_RADIUS_KM * math.radians(size)
+
+
+def _possible(front: DataFrame, k: int, radius_km: float, reach: float) -> DataFrame:
+    """Cells that can hold one of the k nearest stations of their place."""
+    place = Window.partitionBy("lat", "lon")
+    nearest_first = place.orderBy("_km", "_r", "_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # All stations of the cells up to the one that completes k are at most this far away.
+    enough = F.min(F.when(F.col("_upto") >= k, F.col("_km") + reach)).over(place)
+    return (
+        front.withColumn("_upto", F.sum("_n").over(nearest_first))
+        .withColumn("_bound", F.least(F.coalesce(enough, F.lit(float(radius_km))), F.lit(float(radius_km))))
+        .filter(F.col("_km") - reach <= F.col("_bound"))
+        .select("lat", "lon", "_r", "_c", "_n")
+    )
+
+
 def with_station_details(nearest: DataFrame, stations: DataFrame) -> DataFrame:
     """Add name, country, region, position and elevation; a missing name or elevation gets a default."""
     details = stations.select(

@@ -59,18 +59,25 @@ def test_radius_matches_brute_force(spark, radius, low, high, salts):
     assert set(got) == want and want
 
 
-def test_nearest_stations_with_piles_of_copies(spark):
+@pytest.mark.parametrize("capacity,k,radius,lat", [(64, 3, 80, 28.0), (4, 3, 80, 28.0), (2, 5, 300, 88.5), (1, 1, 80, -28.0)])
+def test_nearest_stations_with_piles_and_clusters(spark, capacity, k, radius, lat):
     rng = random.Random(4)
-    st = [(f"s{i:03d}", 28.0, -106.0) for i in range(50)] + [(f"t{i:03d}", rng.uniform(27, 29), rng.uniform(-107, -105)) for i in range(60)]
-    lo = [(f"l{i:03d}", 28.01, -106.01) for i in range(30)] + [(f"m{i:03d}", rng.uniform(27, 29), rng.uniform(-107, -105)) for i in range(30)]
+    spot = lambda: (rng.uniform(lat - 1, lat + 1), rng.uniform(178, 182) if lat > 80 else rng.uniform(-107, -105))
+    wrap = lambda x: (x + 180) % 360 - 180
+    st = [(f"s{i:03d}", lat, -106.0) for i in range(50)] + [(f"t{i:03d}", y, wrap(x)) for i in range(60) for y, x in [spot()]]
+    st += [(f"u{i:03d}", lat + rng.uniform(0, 1e-3), -106 + rng.uniform(0, 1e-3)) for i in range(60)]
+    lo = [(f"l{i:03d}", lat + 0.01, -106.01) for i in range(30)] + [(f"m{i:03d}", y, wrap(x)) for i in range(30) for y, x in [spot()]]
     s = spark.createDataFrame(st, "station_id string, latitude double, longitude double")
     l = spark.createDataFrame(lo, "location_id string, lat double, lon double")
     got = {}
-    for r in stations.nearest_stations(l, s, 80, 3).orderBy("location_id", "rank").collect():
-        got.setdefault(r.location_id, []).append(r.station_id)
+    for r in stations.nearest_stations(l, s, radius, k, capacity=capacity, salts=2).orderBy("location_id", "rank").collect():
+        got.setdefault(r.location_id, []).append((r.distance_km, r.station_id))
     for name, la, lon in lo:
-        near = sorted((km((la, lon), (a, b)), n) for n, a, b in st if km((la, lon), (a, b)) <= 80)
-        assert got.get(name, []) == [n for _, n in near[:3]]
+        near = sorted((km((la, lon), (a, b)), n) for n, a, b in st if km((la, lon), (a, b)) <= radius)[:k]
+        mine = got.get(name, [])
+        assert [d for d, _ in mine] == pytest.approx([d for d, _ in near], abs=1e-6)
+        if lat < 80:
+            assert [n for _, n in mine] == [n for _, n in near]
 
 
 def test_station_details_get_defaults(spark):
