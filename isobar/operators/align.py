@@ -32,7 +32,7 @@ def all_timestamps(sources: Sequence[DataFrame], keys: Sequence[str] = KEYS, ts:
 
 
 def _bounds(ext: DataFrame, keys: Sequence[str], step: int, anchor: str) -> DataFrame:
-    """Positions covered per key, counted in steps from ``_origin``."""
+    """Grid of each key: positions count steps from ``_origin``, from 0 to ``_last``."""
     origins = {"start": "start_ts", "midnight": sql_floor("start_ts", step)}
     if anchor not in origins:
         raise ValueError(f"anchor must be 'start' or 'midnight', not {anchor!r}")
@@ -41,7 +41,7 @@ def _bounds(ext: DataFrame, keys: Sequence[str], step: int, anchor: str) -> Data
     beyond = f"IF({sql_plus('_origin', f'{steps} * {step}')} > end_ts, 1, 0)"
     others = [c for c in ext.columns if c not in (*keys, "start_ts", "end_ts")]
     return ext.withColumn("_origin", F.expr(origins[anchor])).selectExpr(
-        *keys, "_origin", "0L AS _first", f"{steps} - {beyond} AS _last", *others)
+        *keys, "_origin", f"{steps} - {beyond} AS _last", *others)
 
 
 def spine(ext: DataFrame, keys: Sequence[str] = KEYS, step: int = C.STEP_SECONDS, anchor: str = "start",
@@ -62,13 +62,18 @@ def reindex(grid: DataFrame, source: DataFrame, keys: Sequence[str] = KEYS, ts:
     return grid.join(source, [*keys, ts], "left")
 
 
-def on_grid(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], ts: str, step: int) -> DataFrame:
-    """Rows whose timestamp is exactly a grid point, with ``_tick`` and the columns of ``bounds``."""
+def on_grid(rows: DataFrame, bounds: DataFrame, values: Sequence[str], keys: Sequence[str], ts: str, step: int) -> DataFrame:
+    """Rows with their grid position ``_tick`` and the columns of ``bounds``.
+
+    A row whose timestamp is not exactly a grid point loses its values.
+    """
     tick = f"cast(floor(({sql_seconds(ts)} - {sql_seconds('_origin')}) / {step}) as bigint)"
+    others = [c for c in bounds.columns if c not in keys]
     return (
         rows.join(bounds, list(keys))
-        .withColumn("_tick", F.expr(tick))
-        .filter(f"{_sql_grid_time(step)} = {ts}")
+        .selectExpr(*keys, ts, *others, f"{tick} AS _tick", *values)
+        .selectExpr(*keys, *others, "_tick", f"{_sql_grid_time(step)} = {ts} AS _exact", *values)
+        .selectExpr(*keys, *others, "_tick", *[f"IF(_exact, {v}, NULL) AS {v}" for v in values])
     )
 
 
@@ -90,10 +95,9 @@ def snapped(df: DataFrame, snap: str | None, keys: Sequence[str] = KEYS, ts: str
     )
 
 
-def _on_spine(placed: DataFrame, bounds: DataFrame, values: Sequence[str], keys: Sequence[str],
-              chunk: int) -> DataFrame:
+def _on_spine(placed: DataFrame, values: Sequence[str], keys: Sequence[str], chunk: int) -> DataFrame:
     """One row per grid point with the known values around it."""
-    return series.neighbours(placed, keys, "_tick", values, chunk, bounds, ["_origin"])
+    return series.neighbours(placed, keys, "_tick", values, chunk, "_last", ["_origin"])
 
 
 def _sql_grid_time(step: int) -> str:
@@ -107,7 +111,7 @@ def upsample(df: DataFrame, values: Sequence[str], limits: Mapping | None = None
     The grid is anchored at midnight; timestamps off it are ignored.
     """
     bounds = _bounds(extents([df], keys, ts).withColumn("end_ts", floor_to("end_ts", step)), keys, step, "midnight")
-    around = _on_spine(on_grid(df, bounds, keys, ts, step), bounds, values, keys, chunk)
+    around = _on_spine(on_grid(df, bounds, values, keys, ts, step), values, keys, chunk)
     filled = around.selectExpr(
         *keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{series.sql_interpolated(v, '_tick')} AS {v}" for v in values],
     )
@@ -147,7 +151,7 @@ def regular_series(df: DataFrame, values: Sequence[str], limit: int | None = 4,
                    chunk: int = series.CHUNK) -> DataFrame:
     """Spine, alignment and gap filling of one source."""
     bounds = _bounds(extents([df], keys, ts), keys, step, anchor)
-    around = _on_spine(on_grid(df, bounds, keys, ts, step), bounds, values, keys, chunk)
+    around = _on_spine(on_grid(df, bounds, values, keys, ts, step), values, keys, chunk)
     return around.selectExpr(
         *keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{_sql_filled(v, '_tick', limit, fill)} AS {v}" for v in values],
     )
@@ -202,15 +206,15 @@ def unify(sources: Mapping[str, DataFrame], limit: int | None = 4, mode: str = "
         *[F.expr(f"bool_or({c} IS NOT NULL) AS has_{c}") for c in used],
     )
     bounds = _bounds(facts, keys, step, anchor)
-    placed = on_grid(rows, bounds, keys, ts, step)
+    placed = on_grid(rows, bounds, used, keys, ts, step)
     if mode == "row":
-        around = _on_spine(placed, bounds, used, keys, chunk)
+        around = _on_spine(placed, used, keys, chunk)
         final = {t: _sql_first_known(names, limit, fill) for t, names in choice.items()}
     elif mode == "column":
         picked = placed.selectExpr(
-            *keys, "_origin", "_tick", *[f"{sql_prefer_available(names)} AS {t}" for t, names in choice.items()],
+            *keys, "_origin", "_last", "_tick", *[f"{sql_prefer_available(names)} AS {t}" for t, names in choice.items()],
         )
-        around = _on_spine(picked, bounds, list(choice), keys, chunk)
+        around = _on_spine(picked, list(choice), keys, chunk)
         final = {t: _sql_filled(t, "_tick", limit, "both" if fill else "none") for t in choice}
     else:
         raise ValueError(f"mode must be 'column' or 'row', not {mode!r}")

@@ -80,7 +80,7 @@ def chunk_window(keys: Sequence[str], pos: str = "pos", descending: bool = False
 
 
 def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[str],
-               chunk: float = CHUNK, bounds: DataFrame | None = None,
+               chunk: float = CHUNK, last: str | None = None,
                carried: Sequence[str] = ()) -> DataFrame:
     """For every row, the nearest known value of each variable at or before and at or after it.
 
@@ -88,8 +88,9 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     A key has at most one known value per position and variable. ``carried`` columns depend on the
     key and position only.
 
-    With ``bounds`` (keys, ``_first``, ``_last``, carried columns) the result has one row for each
-    position from first to last instead of the input rows.
+    With ``last``, a column with the last position of the key, the result has one row for each
+    position from 0 to there instead of the input rows; every key has a row in the first chunk, and
+    then carried columns depend on the key only.
 
     Rows are shuffled once. Each chunk gets one marker row that brings the known values
     just outside of it, taken from per-chunk summaries, and the stretch of positions it covers.
@@ -98,7 +99,9 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     carried = list(carried)
     groups = [*keys, CHUNK_COL]
     by = ", ".join(groups)
-    tagged = rows.select(*keys, pos, *carried, *values).withColumn(CHUNK_COL, chunk_of(pos, chunk))
+    constant = [*carried, last] if last else []
+    tagged = rows.select(*keys, pos, *dict.fromkeys([*carried, *constant]), *values).withColumn(
+        CHUNK_COL, chunk_of(pos, chunk))
 
     def known(v: str) -> str:
         return f"CASE WHEN {v} IS NOT NULL THEN {pos} END"
@@ -106,20 +109,28 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     markers = tagged.groupBy(*groups).agg(*[F.expr(e) for v in values for e in (
         f"min({known(v)}) AS {v}__fp", f"min_by({v}, {known(v)}) AS {v}__fv",
         f"max({known(v)}) AS {v}__lp", f"max_by({v}, {known(v)}) AS {v}__lv",
-    )])
-    spine_cols = []
-    if bounds is not None:
-        spine_cols = ["_first", "_last", *carried]
-        covered = f"explode(sequence({sql_chunk('_first', chunk)}, {sql_chunk('_last', chunk)})) AS {CHUNK_COL}"
-        markers = bounds.selectExpr(*keys, *spine_cols, covered).join(markers, groups, "left")
-
+    )], *[F.expr(f"max({c}) AS {c}") for c in constant])
     past = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     earlier = f"(PARTITION BY {', '.join(keys)} ORDER BY {CHUNK_COL} {past})"
     later = f"(PARTITION BY {', '.join(keys)} ORDER BY {CHUNK_COL} DESC {past})"
-    markers = markers.selectExpr(*groups, *spine_cols, "true AS _marker", *[e for v in values for e in (
+    around = [e for v in values for e in (
         f"last({v}__lp, true) OVER {earlier} AS {v}__pp", f"last({v}__lv, true) OVER {earlier} AS {v}__pv",
         f"last({v}__fp, true) OVER {later} AS {v}__np", f"last({v}__fv, true) OVER {later} AS {v}__nv",
-    )])
+    )]
+    if last is None:
+        markers = markers.selectExpr(*groups, "true AS _marker", *around)
+    else:
+        # Chunks without any row follow the last chunk before them that has one.
+        following = f"lead({CHUNK_COL}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {CHUNK_COL})"
+        upto = f"coalesce({following} - 1, {sql_chunk(last, chunk)})"
+        inside = [c for v in values for c in (f"{v}__lp", f"{v}__lv")]
+        markers = markers.selectExpr(*groups, *constant, *inside, *around, f"{upto} AS _upto").selectExpr(
+            "*", f"explode(sequence({CHUNK_COL}, _upto)) AS _part").selectExpr(
+            *keys, f"_part AS {CHUNK_COL}", *constant, "true AS _marker", *[e for v in values for e in (
+                f"IF(_part > {CHUNK_COL}, coalesce({v}__lp, {v}__pp), {v}__pp) AS {v}__pp",
+                f"IF(_part > {CHUNK_COL} AND {v}__lp IS NOT NULL, {v}__lv, {v}__pv) AS {v}__pv",
+                f"{v}__np", f"{v}__nv",
+            )])
 
     together = (
         tagged.withColumn("_marker", F.lit(False))
@@ -137,10 +148,9 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     extra = "array(" + ", ".join(
         item(f"{v}__{side}p", "false", v, f"{v}__{side}v") for v in values for side in ("p", "n")) + ")"
     kept = "NOT _marker"
-    if bounds is not None:
-        start = f"greatest(_first, {CHUNK_COL} * {chunk})"
-        end = f"least(_last, {CHUNK_COL} * {chunk} + {chunk - 1})"
-        extra = f"concat(transform(sequence({start}, {end}), _x -> {item('_x', 'true')}), {extra})"
+    if last is not None:
+        end = f"least({last}, {CHUNK_COL} * {chunk} + {chunk - 1})"
+        extra = f"concat(transform(sequence({CHUNK_COL} * {chunk}, {end}), _x -> {item('_x', 'true')}), {extra})"
         kept = "_marker AND _item.keep"
     merged = (
         together.selectExpr("*", f"explode_outer(CASE WHEN _marker THEN {extra} END) AS _item")
