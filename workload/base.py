@@ -32,7 +32,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def single(c: Column | str) -> Column:
     """Value at single precision, so that the order of additions does not show."""
-    return (F.col(c) if isinstance(c, str) else c).cast("float").cast("double")
+    if isinstance(c, str):
+        return F.expr(f"cast(cast({c} as float) as double)")
+    return c.cast("float").cast("double")
 
 
 def sql_single(e: str) -> str:
@@ -41,7 +43,7 @@ def sql_single(e: str) -> str:
 
 def digits(c: Column | str, n: int = 6) -> Column:
     """Rounded, without negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
+    return F.expr(f"round({c}, {n}) + 0D") if isinstance(c, str) else F.round(c, n) + F.lit(0.0)
 
 
 def sql_digits(e: str, n: int = 6) -> str:
