@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from isobar import constants as C
 from isobar.functions.physics import clip_columns
-from isobar.functions.timegrid import floor_to, plus_seconds, seconds, sql_floor, sql_plus, sql_seconds
+from isobar.functions.timegrid import floor_to, plus_seconds, sql_floor, sql_plus, sql_seconds
 from isobar.operators import series
 
 KEYS = ["location_id"]

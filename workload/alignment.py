@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from isobar import constants as C
 from isobar.functions.timegrid import at
 from isobar.operators import align
-from workload.base import (CHUNK, SQL_GRID, cells, digits, merged_cells, place, query, single, sources, sql_cells, sql_digits,
-                           sql_merged, sql_place, sql_single, sql_sources, table)
+from workload.base import (CHUNK, SQL_GRID, cells, merged_cells, query, single, sources, sql_cells, sql_merged, sql_single, sql_sources,
+                           table)
 
 START, END = "2024-01-10 00:00:00", "2024-01-12 12:00:00"
 REFERENCE = "2024-01-20 06:00:00"

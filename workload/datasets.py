@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from isobar import constants as C
 from isobar.functions.timegrid import sql_seconds
-from isobar.operators import align, metrics, scaling, sequences
+from isobar.operators import metrics, scaling, sequences
 from isobar.plans import forecasting, training
 from pyspark.sql import functions as F
 from workload.base import CHUNK, digits, merged_cells, observed, query, single, sql_digits, sql_merged, sql_observed, sql_single, table

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from isobar import constants as C
 from isobar.functions import categories
-from isobar.operators import present, rain, sequences
+from isobar.operators import present, rain
 from isobar.plans import forecasting, training
 from isobar.plans.stage import materialized
 from isobar.sources.tables import parse_payloads

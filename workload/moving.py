@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from isobar import constants as C
-from isobar.functions.timegrid import at
-from isobar.operators import align, features
-from pyspark.sql import functions as F
+from isobar.operators import features
 from workload.base import CHUNK, digits, merged_cells, observed, query, single, sql_digits, sql_merged, sql_observed, sql_single
 
 LAYOUT = {"regular": True, "chunk": CHUNK}

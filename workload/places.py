@@ -6,7 +6,7 @@ from isobar import constants as C
 from isobar.functions import normals, physics
 from isobar.operators import locations, stations
 from pyspark.sql import functions as F
-from workload.base import digits, place, query, single, sql_digits, sql_km, sql_place, sql_single, table
+from workload.base import digits, place, query, sql_digits, sql_km, sql_place, table
 
 # A raw code table: codes repeat, some coordinates are no numbers or outside the box, states vary.
 RAW_STATE = "CASE c_custkey % 4 WHEN 0 THEN '08' WHEN 1 THEN 'Chihuahua' WHEN 2 THEN '05' ELSE 'CHIHUAHUA' END"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from isobar import constants as C
 from isobar.functions import calendar, categories, normals, physics
 from pyspark.sql import functions as F
