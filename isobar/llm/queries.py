@@ -1,4 +1,4 @@
 """All training-data queries and their SQL."""
 
-from isobar.llm import bpe, licenses, quality  # noqa: F401
+from isobar.llm import bpe, decontaminate, licenses, quality, substrings  # noqa: F401
 from isobar.llm.common import QUERIES, SQL  # noqa: F401
