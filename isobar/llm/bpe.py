@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import query, table
+from isobar.llm.common import extended, query, table
 
 # Words held in a task's memory before the store starts anew.
 WORDS_KEPT = 400_000
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, content: str, text: str = "text", keep_ids: bool = T
                 arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*other, *names])
 
-    schema = docs.schema.add(names[0], "long").add(names[1], "string").add(names[2], "string")
+    schema = extended(docs.schema, f"{names[0]} long, {names[1]} string, {names[2]} string")
     return docs.mapInArrow(run, schema)
 
 

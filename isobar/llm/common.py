@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,3 +62,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def extended(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with more columns at the end."""
+    return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)

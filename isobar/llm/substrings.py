@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import query, table, written
+from isobar.llm.common import extended, query, table, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 35
@@ -113,7 +113,7 @@ def removal_intervals(docs: DataFrame, size: int = WINDOW, text: str = "text") -
                 [*batch.columns[:-1], pa.array(removed, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(n_words, pa.int64())],
                 names=[*names, "removed", "n_words"])
 
-    schema = source.schema.add("removed", "array<struct<a:int,b:int>>").add("n_words", "long")
+    schema = extended(source.schema, "removed array<struct<a:int,b:int>>, n_words long")
     return joined.mapInArrow(mark, schema)
 
 
@@ -134,7 +134,7 @@ def kept_words(rows: DataFrame, text: str = "text", out: str = "kept_text") -> D
                 kept.append(" ".join(left + w[end:]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.string())], names=[*names, out])
 
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
+    return rows.mapInArrow(run, extended(rows.schema, f"`{out}` string"))
 
 
 @query(r"""
