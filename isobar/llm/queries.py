@@ -1,4 +1,4 @@
 """All training-data queries and their SQL."""
 
-from isobar.llm import bpe, chat, decontaminate, html, licenses, quality, substrings  # noqa: F401
+from isobar.llm import bpe, chat, decontaminate, html, language, licenses, neardup, quality, substrings  # noqa: F401
 from isobar.llm.common import QUERIES, SQL  # noqa: F401
