@@ -47,7 +47,7 @@ def test_odd_inputs_give_one_row_each(spark, texts):
     assert bpe.encode(docs, bpe.word_vocabulary()).count() == n
     assert substrings.kept_words(substrings.removal_intervals(docs)).count() == n
     assert neardup.near_duplicates(docs).count() == n
-    assert html.extract(docs, "text").count() == n
+    assert html.extract(docs.withColumnRenamed("text", "html")).count() == n
 
 
 def test_bpe_equals_library():
