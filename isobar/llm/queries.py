@@ -1,4 +1,16 @@
 """All training-data queries and their SQL."""
 
-from isobar.llm import bpe, chat, decontaminate, html, language, licenses, neardup, quality, substrings, urls  # noqa: F401
+from isobar.llm import (  # noqa: F401
+    bpe,
+    chat,
+    decontaminate,
+    html,
+    language,
+    licenses,
+    neardup,
+    quality,
+    resample,
+    substrings,
+    urls,
+)
 from isobar.llm.common import QUERIES, SQL  # noqa: F401
