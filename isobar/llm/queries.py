@@ -7,6 +7,7 @@ from isobar.llm import (  # noqa: F401
     html,
     language,
     licenses,
+    manifest,
     neardup,
     quality,
     resample,
