@@ -13,5 +13,6 @@ from isobar.llm import (  # noqa: F401
     resample,
     substrings,
     urls,
+    vectors,
 )
 from isobar.llm.common import QUERIES, SQL  # noqa: F401
