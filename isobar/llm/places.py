@@ -15,7 +15,7 @@ from isobar.llm.common import extended, written
 def numbered(rows: DataFrame, group: str, order: list) -> DataFrame:
     """rows with `idx` (0, 1, 2... within each group, in the given order) and `total` (rows of the group), written.
 
-    rows must be a written table, so that it reads the same twice. Range partitions are cut by group, order and the row's
+    rows must be a written table, so that it reads the same twice, without columns idx and total; group must not be null. Range partitions are cut by group, order and the row's
     own number, so that a group with a third of all rows, or many equal rows, is spread over many tasks. Each task numbers
     the rows of its part; the counts of (group, part) give the places where parts begin. Equal rows come in any order.
     """
