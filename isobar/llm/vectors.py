@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from isobar.llm import covertree
 from isobar.llm.common import query, table, written
-from isobar.llm.neardup import components
+from isobar.llm.links import components
 
 CELL, CENTRES, FINEST = 8192, 16, 0.05
 # Points of a cell that one task compares with the cell's centres.
