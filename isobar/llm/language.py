@@ -1,8 +1,9 @@
 """Language of documents by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a word (its state starts anew at every word, so equal words are worked out once per
-batch of documents) and labels every byte position; a document's class has the greatest sum of log-probabilities over all
-positions of its whole text. It is trained by backpropagation through time in numpy on a bounded sample.
+The network reads the UTF-8 bytes of the whole lower-cased text, its state carried over words, blanks, digits and marks, and labels
+every byte; a document's class has the greatest sum of log-probabilities over all its bytes. Texts are cut into segments
+that are read side by side; each is read with some bytes of its neighbours, so that its states are warm where its own bytes
+begin. The network is trained by backpropagation through time in numpy on a bounded sample.
 """
 
 from __future__ import annotations
@@ -13,19 +14,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import extended, query, table, words
+from isobar.llm.common import extended, query, table, written
 
-# Bounds of the training sample: labelled documents, and words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 500, 60
-HIDDEN, LONGEST, EPOCHS, BATCH, RATE, SEED = 16, 24, 5, 512, 0.01, 7
-LETTER_WORD = regex.compile(r"[\p{L}\p{M}]+")
+# Bounds of the training sample: distinct labelled texts, pieces of each, and characters of a piece.
+SAMPLE_DOCS, PIECES, PIECE_CHARS = 500, 2, 140
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 10, 64, 0.015, 7
+# Bytes of a segment, bytes of its neighbours on either side, and segments read side by side.
+SEGMENT, MARGIN, SIDE = 128, 16, 4096
 LETTER = regex.compile(r"\p{L}")
 
 
-def pieces(word: str) -> list[bytes]:
-    """Bytes of a word with a space at either end, in pieces of at most LONGEST bytes."""
-    raw = b" " + word.encode("utf-8", "surrogatepass") + b" "
-    return [raw[i:i + LONGEST] for i in range(0, len(raw), LONGEST)]
+def segments(raw: bytes) -> np.ndarray:
+    """The segments of a text, one per row, each with its margins; zero bytes stand before the first and after the last byte."""
+    n = max(1, -(-len(raw) // SEGMENT))
+    line = np.zeros(2 * MARGIN + n * SEGMENT, np.uint8)
+    line[MARGIN:MARGIN + len(raw)] = np.frombuffer(raw, np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(line, SEGMENT + 2 * MARGIN)[::SEGMENT]
+
+
+def own_bytes(size: int) -> np.ndarray:
+    """How many bytes of each segment of a text of that many bytes are its own."""
+    n = max(1, -(-size // SEGMENT))
+    return np.minimum(size - np.arange(n) * SEGMENT, SEGMENT)
 
 
 def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -36,7 +46,7 @@ def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
@@ -52,7 +62,7 @@ class Network:
             **{f"b{d}": np.zeros(3 * h, np.float32) for d in "fb"},
             "o": rng.normal(0, 0.1, (2 * h, k)).astype(np.float32), "c": np.zeros(k, np.float32)}
 
-    def _read(self, codes, mask, d, trace=None):
+    def _read(self, codes, d, trace=None):
         n, width = codes.shape
         h = np.zeros((n, HIDDEN), np.float32)
         states = np.zeros((width, n, HIDDEN), np.float32)
@@ -61,23 +71,22 @@ class Network:
             zr = sigmoid(x[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
             new = np.tanh(x[:, 2 * HIDDEN:] + r * g[:, 2 * HIDDEN:])
-            m = mask[:, t:t + 1]
             if trace is not None:
-                trace.append((t, h, z, r, new, g[:, 2 * HIDDEN:], m))
-            h = h + m * (1 - z) * (new - h)
+                trace.append((t, h, z, r, new, g[:, 2 * HIDDEN:]))
+            h = h + z * (new - h)
             states[t] = h
         return states
 
-    def log_probabilities(self, codes, mask):
-        """Per position and label; shape (width, words, labels)."""
-        out = np.concatenate([self._read(codes, mask, "f"), self._read(codes, mask, "b")], 2) @ self.w["o"] + self.w["c"]
+    def log_probabilities(self, codes, mask=None):
+        """Per position and label; shape (width, rows, labels)."""
+        out = np.concatenate([self._read(codes, "f"), self._read(codes, "b")], 2) @ self.w["o"] + self.w["c"]
         out -= out.max(2, keepdims=True)
         return out - np.log(np.exp(out).sum(2, keepdims=True))
 
     def gradients(self, codes, mask, target, weight):
-        """Loss gradients by backpropagation through time; every position of a word has the word's label."""
+        """Loss gradients by backpropagation through time; every masked position of a row has the row's label."""
         tf, tb = [], []
-        states = np.concatenate([self._read(codes, mask, "f", tf), self._read(codes, mask, "b", tb)], 2)
+        states = np.concatenate([self._read(codes, "f", tf), self._read(codes, "b", tb)], 2)
         logits = states @ self.w["o"] + self.w["c"]
         p = np.exp(logits - logits.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
@@ -90,35 +99,84 @@ class Network:
             u = self.w[f"u{d}"]
             gx, gu, gb = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), np.zeros_like(self.w[f"b{d}"])
             dh = np.zeros((len(target), HIDDEN), np.float32)
-            for t, h, z, r, new, gn, m in reversed(trace):
+            for t, h, z, r, new, gn in reversed(trace):
                 dh = dh + part[t]
-                dn = dh * m * (1 - z) * (1 - new * new)
-                dz = -dh * m * (new - h) * z * (1 - z)
+                dn = dh * z * (1 - new * new)
+                dz = dh * (new - h) * z * (1 - z)
                 dr = dn * gn * r * (1 - r)
                 np.add.at(gx, codes[:, t], np.concatenate([dz, dr, dn], 1))
                 dg = np.concatenate([dz, dr, dn * r], 1)
                 gu += h.T @ dg
                 gb += dg.sum(0)
-                dh = dh * (1 - m * (1 - z)) + dg @ u.T
+                dh = dh * (1 - z) + dg @ u.T
             grad |= {f"x{d}": gx, f"u{d}": gu, f"b{d}": gb}
         return grad
 
+    def label_sums(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Summed log-probabilities (segments, labels) over each segment's own bytes.
+
+        codes has a segment per row. The same sums as of log_probabilities, with a column per segment and without keeping states.
+        """
+        h2 = 2 * HIDDEN
+        steps = np.ascontiguousarray(codes.T)
+        width, n = steps.shape
+        forward = np.empty((SEGMENT, len(self.labels), n), np.float32)
+        total = np.zeros((len(self.labels), n), np.float64)
+        for d, out in (("f", self.w["o"][:HIDDEN].T), ("b", self.w["o"][HIDDEN:].T)):
+            # The bias of the gates is part of the input rows; that of the candidate stays inside the reset product.
+            x = np.ascontiguousarray(self.w[f"x{d}"].T).astype(np.float32)
+            x[:h2] += self.w[f"b{d}"][:h2, None]
+            u, inner = np.ascontiguousarray(self.w[f"u{d}"].T).astype(np.float32), self.w[f"b{d}"][h2:, None].astype(np.float32)
+            x[:h2] *= np.float32(0.5)
+            u[:h2] *= np.float32(0.5)
+            out = np.ascontiguousarray(out).astype(np.float32)
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in range(MARGIN + SEGMENT) if d == "f" else range(width - 1, MARGIN - 1, -1):
+                given, g = np.take(x, steps[t], axis=1), u @ h
+                gates = given[:h2]
+                gates += g[:h2]
+                np.tanh(gates, out=gates)
+                gates *= np.float32(0.5)
+                gates += np.float32(0.5)
+                new = g[h2:]
+                new += inner
+                new *= gates[HIDDEN:]
+                new += given[h2:]
+                np.tanh(new, out=new)
+                new -= h
+                new *= gates[:HIDDEN]
+                h += new
+                k = t - MARGIN
+                if 0 <= k < SEGMENT:
+                    logits = out @ h
+                    if d == "f":
+                        forward[k] = logits
+                    else:
+                        logits += forward[k] + self.w["c"][:, None]
+                        logits -= logits.max(0)
+                        logits -= np.log(np.exp(logits).sum(0))
+                        logits *= k < sizes
+                        total += logits
+        return total.T
+
 
 def train(samples: list[tuple[str, str]]) -> Network:
-    """A network from (word, label) pairs; Adam, fixed seed, labels weighted to equal shares."""
+    """A network from (text, label) pairs; Adam, fixed seed, labels weighted to equal shares. With one label there is nothing to learn."""
     labels = sorted({label for _, label in samples})
     net = Network(labels)
     if len(labels) < 2:
         return net
-    samples = sorted(set(samples))
-    parts = [(p, labels.index(label)) for word, label in samples for p in pieces(word)]
-    codes, mask = padded([p for p, _ in parts])
-    target = np.array([k for _, k in parts])
-    weight = (1 / np.bincount(target, minlength=len(labels)))[target].astype(np.float32)
+    texts = [(raw, labels.index(label)) for text, label in sorted(set(samples)) if (raw := text.lower().encode("utf-8", "surrogatepass"))]
+    codes = np.concatenate([segments(raw) for raw, _ in texts]).astype(np.int64)
+    sizes = np.concatenate([own_bytes(len(raw)) for raw, _ in texts])
+    target = np.concatenate([np.full(len(own_bytes(len(raw))), k) for raw, k in texts])
+    place = np.arange(codes.shape[1])[None, :] - MARGIN
+    mask = ((place >= 0) & (place < sizes[:, None])).astype(np.float32)
+    weight = (1 / np.maximum(np.bincount(target, weights=sizes, minlength=len(labels)), 1))[target].astype(np.float32)
     rng = np.random.default_rng(SEED)
     mean, square, step = {k: 0 for k in net.w}, {k: 0 for k in net.w}, 0
     for _ in range(EPOCHS):
-        order = rng.permutation(len(parts))
+        order = rng.permutation(len(codes))
         for at in range(0, len(order), BATCH):
             i = order[at:at + BATCH]
             step += 1
@@ -129,64 +187,82 @@ def train(samples: list[tuple[str, str]]) -> Network:
     return net
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Network:
-    """Train on the `sample_docs` labelled documents with the lowest hash of their text, `sample_words` words by hash of each.
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network:
+    """Train on a sample of at most `sample_docs` distinct labelled texts, dealt out evenly among the labels.
 
-    Rows with a null text or label are not used; without any the network has no labels.
+    Copies of a text are one text. Of each label the texts with the lowest hashes are taken, and of each text PIECES pieces of
+    PIECE_CHARS characters; of more labels than `sample_docs` the most frequent are learned. The driver gets label counts and
+    about twice the sample's hashes, whatever the number of tasks. Rows with a null text or label are not used; without any
+    the network has no labels, and with one label only every text with a letter gets it.
     """
-    ws = F.array_distinct(F.filter(words(F.lower(F.col(text)), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
-    some = F.slice(F.array_sort(F.transform(ws, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, sample_words)
-    rows = (labelled.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(text).alias("_h"), F.col(label).alias("_l"), some.alias("_w"))
-            .orderBy("_h", "_l").limit(sample_docs).collect())
-    return train([(x["w"], r["_l"]) for r in rows for x in r["_w"]])
+    rows = labelled.select(F.xxhash64(text).alias("_h"), F.col(label).cast("string").alias("_l"), F.col(text).alias("_t")).filter("_t is not null and _l is not null")
+    distinct = written(rows.select("_h", "_l").distinct())
+    sizes = distinct.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(sample_docs).collect()
+    if not sizes:
+        return train([])
+    each = sample_docs // len(sizes)
+    spark = labelled.sparkSession
+    shares = spark.createDataFrame([(r["_l"], 2 * each / r["count"] + 8 / r["count"]) for r in sizes], "_l string, _share double")
+    u = F.pmod(F.xxhash64("_h", "_l"), F.lit(1 << 30)) / float(1 << 30)
+    low = distinct.join(F.broadcast(shares), "_l").select("_h", "_l", u.alias("_u"), "_share").filter("_u < _share").collect()
+    chosen, taken = [], {}
+    for r in sorted(low, key=lambda r: (r["_u"], r["_h"], r["_l"])):
+        if taken.setdefault(r["_l"], 0) < each:
+            taken[r["_l"]] += 1
+            chosen.append((r["_h"], r["_l"]))
+    wanted = F.broadcast(spark.createDataFrame(chosen, "_h long, _l string"))
+    last = F.greatest(F.length("_t") - PIECE_CHARS + 1, F.lit(1)).cast("long")
+    pieces = F.array(*[F.substr("_t", (F.pmod(F.xxhash64("_h", F.lit(i)), last) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)])
+    found = rows.join(wanted, ["_h", "_l"]).groupBy("_h", "_l").agg(F.min(pieces).alias("_p")).collect()
+    return train([(p, r["_l"]) for r in found for p in r["_p"]])
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1: the class's share of the mean position probability).
+    """docs with lang_pred and score (0 to 1: the class's share of the mean byte probability).
 
-    Null texts, texts without a letter, and all texts if no label was learned: `und` and 0. Ties go to the first label
-    by name. Input columns of the added names are replaced; repeated rows stay.
+    Null texts, texts without a letter, and all texts if no label was learned: `und` and 0. With one label its score is 1. Ties go
+    to the first label by name. Input columns of the added names are replaced; repeated rows stay, and no rows give none.
     """
     docs = docs.drop("lang_pred", "score")
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                tokens = [LETTER_WORD.findall(t.lower()) if t and LETTER.search(t) else [] for t in part.column(at).to_pylist()]
-                number = {w: i for i, w in enumerate({w for ts in tokens for w in ts})}
-                total, count = _word_scores(net, list(number))
-                predicted, scores = [], []
-                for ts in tokens:
-                    if not ts or not net.labels:
-                        predicted.append("und")
-                        scores.append(0.0)
-                        continue
-                    i = np.fromiter((number[w] for w in ts), np.int64, len(ts))
-                    mean = total[i].sum(0) / count[i].sum()
-                    p = np.exp(mean - mean.max())
-                    predicted.append(net.labels[int(p.argmax())])
-                    scores.append(float(p.max() / p.sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predicted, pa.string()), pa.array(scores, pa.float64())],
-                                                 names=[*names, "lang_pred", "score"])
+            raw = [t.lower().encode("utf-8", "surrogatepass") if t and net.labels and LETTER.search(t) else None for t in batch.column(at).to_pylist()]
+            mean = mean_scores(net, [r for r in raw if r is not None])
+            p = np.exp(mean - mean.max(1, keepdims=True)) if len(mean) else mean
+            answers = iter(zip(p.argmax(1).tolist(), (p.max(1) / p.sum(1)).tolist())) if len(mean) else iter(())
+            out = [("und", 0.0) if r is None else next(answers) for r in raw]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k if isinstance(k, str) else net.labels[k] for k, _ in out], pa.string()),
+                                              pa.array([x for _, x in out], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
 
 
-def _word_scores(net: Network, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-probabilities and number of positions of each word; words of like length are read together."""
-    total, count = np.zeros((len(distinct), max(len(net.labels), 1))), np.zeros(len(distinct))
-    if not net.labels:
-        return total, count + 1
-    parts = sorted(((p, i) for i, w in enumerate(distinct) for p in pieces(w)), key=lambda x: len(x[0]))
-    for at in range(0, len(parts), 2048):
-        some = parts[at:at + 2048]
-        codes, mask = padded([p for p, _ in some])
-        owner = np.array([i for _, i in some])
-        np.add.at(total, owner, (net.log_probabilities(codes, mask) * mask.T[:, :, None]).sum(0))
-        np.add.at(count, owner, mask.sum(1))
-    return total, count
+def mean_scores(net: Network, texts: list[bytes]) -> np.ndarray:
+    """Mean log-probabilities (texts, labels) over all bytes of each text; SIDE segments are read at a time, of one text or many."""
+    total, count = np.zeros((len(texts), len(net.labels))), np.array([max(len(t), 1) for t in texts], np.float64)
+    held, sizes, owners, n = [], [], [], 0
+
+    def flush():
+        nonlocal held, sizes, owners, n
+        if n:
+            np.add.at(total, np.concatenate(owners), net.label_sums(np.concatenate(held), np.concatenate(sizes)))
+        held, sizes, owners, n = [], [], [], 0
+
+    for i, t in enumerate(texts):
+        parts, own = segments(t), own_bytes(len(t))
+        while len(parts):
+            take = min(len(parts), SIDE - n)
+            held.append(parts[:take])
+            sizes.append(own[:take])
+            owners.append(np.full(take, i))
+            n += take
+            parts, own = parts[take:], own[take:]
+            if n == SIDE:
+                flush()
+    flush()
+    return total / count[:, None]
 
 
 def held_out(doc_id):
