@@ -1,4 +1,7 @@
-"""From raw documents to token ids in five stages: language, near copies, repeated passages, benchmark leaks, encoding."""
+"""From raw documents to token ids in five stages: language, near copies, repeated passages, benchmark leaks, encoding.
+
+Every stage gets a stored table, keeps rows with null or repeated ids as rows of their own, and gives no rows for no rows.
+"""
 
 from __future__ import annotations
 
@@ -23,14 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    gone = neardup.near_duplicates(docs, shingle=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays, the first with the smallest doc_id: five-word shingles, similarity 0.8 or more."""
+    return neardup.one_per_group(docs.select(*COLUMNS), shingle=5, percent=80, stored=True).select(*COLUMNS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes words of repeated 35-word windows out of texts; a text without any stays as it is."""
-    rows = substrings.kept_words(substrings.removal_intervals(docs.select(*COLUMNS)))
+    rows = substrings.kept_words(substrings.removal_intervals(docs.select(*COLUMNS), stored=True))
     rows = rows.withColumn("text", F.when(F.size("removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -55,7 +57,7 @@ STAGES = [
     ("decontamination", drop_contaminated),
     ("bpe_encoding", encode_texts),
 ]
-# A trained network and a tokenizer decide the rows, so there is no SQL; the tests compare each stage with brute force.
+# A trained network and a tokenizer decide the rows, so there is no SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 
