@@ -46,14 +46,18 @@ def climbed(messages: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]
     state = written(nodes.join(first, "parent", "left").select(
         "n", "up", F.col("up").isNotNull().cast("long").alias("depth"), F.col("score").alias("total"), F.when(F.col("up").isNull(), F.col("n")).alias("root")))
     limit, step, jumps = state.count(), 1, []
-    while step <= limit and not state.filter("up is not null").isEmpty():
-        jumps.append(state.filter("up is not null").select("n", "up"))
-        above = state.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"), F.col("root").alias("root2"))
-        state = written(state.join(above, "up", "left").select(
-            "n", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), F.coalesce("root", "root2").alias("root")))
+    climbing, ended = state.filter("up is not null"), state.filter("up is null")
+    while step <= limit and not climbing.isEmpty():
+        jumps.append(climbing.select("n", "up"))
+        above = climbing.unionByName(ended).select(
+            F.col("n").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"), F.col("root").alias("root2"))
+        state = written(climbing.drop("root").join(above, "up").select(
+            "n", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"),
+            F.col("root2").alias("root")))
+        # Only messages that have not met their root go on.
+        climbing, ended = state.filter("up is not null"), ended.unionByName(state.filter("up is null"))
         step *= 2
-    return nodes.select("n", "id"), jumps, state.filter("root is not null").select("n", "root", "depth", "total")
+    return nodes.select("n", "id"), jumps, ended.select("n", "root", "depth", "total")
 
 
 def ranked_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
@@ -67,15 +71,21 @@ def ranked_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     nodes, jumps, ends = climbed(messages)
     leaves = ends.join(jumps[0].select(F.col("up").alias("n")).distinct(), "n", "left_anti") if jumps else ends
     ids = nodes.select(F.col("n").alias("leaf"), F.col("id").alias("leaf_id"))
-    named = written(leaves.withColumnRenamed("n", "leaf").join(ids, "leaf").select("leaf", "leaf_id", "root", F.col("total").alias("sum")))
+    named = written(leaves.withColumnRenamed("n", "leaf").join(ids, "leaf").select("leaf", "leaf_id", "root", F.col("total").alias("sum"), F.col("depth").alias("deep")))
     if best is None:
         chosen = numbered(named, "root", [F.desc("sum"), F.asc_nulls_first("leaf_id")]).withColumn("rank", (F.col("idx") + 1).cast("int"))
     else:
         chosen = named.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("sum"), F.asc_nulls_first("leaf_id"), "leaf"))).filter(F.col("rank") <= best)
     roots = nodes.select(F.col("n").alias("root"), F.col("id").alias("root_id"))
-    paths = chosen.join(roots, "root").select(F.col("root_id").alias("root"), F.col("leaf_id").alias("leaf"), "rank", F.col("leaf").alias("n"))
-    for jump in jumps:
-        paths = written(paths.join(jump, "n", "left").select("root", "leaf", "rank", F.explode(F.filter(F.array("n", "up"), lambda x: x.isNotNull())).alias("n")))
+    paths = written(chosen.join(roots, "root").select(F.col("root_id").alias("root"), F.col("leaf_id").alias("leaf"), "rank", F.col("leaf").alias("n"), "deep"))
+    whole = []
+    for k, jump in enumerate(jumps):
+        # A branch of fewer replies than the jump is long is whole.
+        whole.append(paths.filter(F.col("deep") < 2 ** k))
+        paths = written(paths.filter(F.col("deep") >= 2 ** k).join(jump, "n", "left").select(
+            "root", "leaf", "rank", F.explode(F.filter(F.array("n", "up"), lambda x: x.isNotNull())).alias("n"), "deep"))
+    for part in whole:
+        paths = paths.unionByName(part)
     return paths.join(ends.select("n", "depth"), "n").join(nodes, "n").select("root", "leaf", "rank", "depth", "id")
 
 
