@@ -44,8 +44,9 @@ def shingle_hashes(text: bytes | None, size: int, known: dict[bytes, int]) -> np
         return np.zeros(0, np.uint64)
     if len(known) > KNOWN_WORDS:
         known.clear()
-    for w in set(tokens) - known.keys():
-        known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    for w in set(tokens):
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
     codes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     size = min(size, len(tokens))
     with np.errstate(over="ignore"):
