@@ -29,8 +29,9 @@ def word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hash of each word."""
     if len(known) > KNOWN_WORDS:
         known.clear()
-    for w in set(tokens) - known.keys():
-        known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    for w in set(tokens):
+        if w not in known:
+            known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
     return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
