@@ -179,7 +179,8 @@ def near_groups(keyed: DataFrame, shingle: int, percent: int, bins: int, band_ro
         moved = root != np.arange(len(sets))
         return pa.table({"a": row[moved], "b": row[root[moved]]})
 
-    links = written(dealt.join(keyed.select("_row", "_text"), "_row").groupBy("component", "i", "j").applyInArrow(confirm, "a long, b long"))
+    # What is dealt grows with the texts, so both sides are shuffled at any size; neither is broadcast.
+    links = written(dealt.hint("merge").join(keyed.select("_row", "_text"), "_row").groupBy("component", "i", "j").applyInArrow(confirm, "a long, b long"))
     ends = written(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct())
     named = components(ends, links).join(classes.select(F.col("row").alias("id"), "h1", "h2", "rep"), "id")
     named = written(named.select("h1", "h2", "component", F.struct("rep", F.col("id").alias("row")).alias("first")))
