@@ -205,7 +205,8 @@ def removal_intervals(docs: DataFrame, size: int = WINDOW, text: str = "text", s
     if not stored:
         keyed = written(keyed.drop("_text")).select("_row", F.col(f"_all.`{text}`").alias("_text"), "_all")
     found = written(repeated_spans(keyed.select("_row", "_text"), size))
-    joined = keyed.join(found, "_row", "left").select("_all.*", F.col("spans").alias("__spans"))
+    # Spans grow with the texts, so they are shuffled at any size and never broadcast.
+    joined = keyed.join(found.hint("merge"), "_row", "left").select("_all.*", F.col("spans").alias("__spans"))
     names, at_text, at_spans = source.columns, source.columns.index(text), len(source.columns)
 
     def mark(batches):
