@@ -84,6 +84,7 @@ DIFFS = [1, 2, 3]
 PRESSURE_TENDENCY_STEPS = 12
 BASE_FEATURES = [TEMP, HUMIDITY, PRECIP, WIND_SPEED, PRESSURE, CLOUD]
 CYCLIC_FEATURES = ["hour_sin", "hour_cos", "month_sin", "month_cos"]
+EXTRA_FEATURES = ["heat_index", "pressure_change_3h"]
 SEASONS = ["winter", "spring", "summer", "fall"]
 PRECIP_CLASSES = ["no_rain", "light_rain", "moderate_rain", "heavy_rain", "unknown"]
 CLOUD_CLASSES = ["clear", "partly_cloudy", "mostly_cloudy", "overcast", "unknown"]
@@ -144,3 +145,8 @@ CITY_COORDINATES = [
     ("31840", 30.8833, -108.1833), ("31820", 31.1000, -107.9833), ("32500", 31.6904, -106.4245),
     ("32800", 31.3667, -106.0167), ("32800", 30.6167, -106.5167), ("31870", 29.8833, -107.0333),
 ]
+
+# Error texts of forecasts, fixed values.
+ERROR_INVALID = "Código postal inválido. Debe ser un string de 5 dígitos."
+ERROR_UNKNOWN = "No se encontraron coordenadas para el código postal "
+ERROR_NO_DATA = "No se pudieron obtener datos recientes para predicción"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -202,19 +203,22 @@ def all_features(df: DataFrame, variables: Sequence[str] | None = None, ts: str
     return over_series(df, make, max(C.PRESSURE_TENDENCY_STEPS, *C.LAGS, *C.WINDOWS, *C.DIFFS), ts=ts, **layout)
 
 
-def select_features(columns: Sequence[str], max_features: int = 20) -> list[str]:
-    """Names of the model's features: a fixed priority list, topped up with first differences and
-    short sums of the leading variables, cut to the maximum."""
+def preferred_features() -> list[list[str]]:
+    """Names of model features in order of preference: a fixed block, then two blocks that only fill up what is left.
+
+    The first block is taken in its own order, the others in the order of the table's columns.
+    """
     lead = C.BASE_FEATURES[:3]
-    wanted = [
-        *C.BASE_FEATURES, *C.CYCLIC_FEATURES, *[f"{v}_lag_{k}" for v in lead for k in (1, 2)],
-        "heat_index", "pressure_change_3h",
-    ]
-    chosen = [c for c in wanted if c in columns]
-    for marker, stem in (("_diff_1", "_diff_"), ("_cumsum_4", "_cumsum_")):
-        room = max(0, max_features - len(chosen))
-        chosen += [c for c in columns if marker in c and c.split(stem)[0] in lead][:room]
-    return chosen[:max_features]
+    lags = [f"{v}_lag_{k}" for v, k in itertools.product(lead, (1, 2))]
+    fixed = C.BASE_FEATURES + C.CYCLIC_FEATURES + lags + C.EXTRA_FEATURES
+    return [fixed, [f"{v}_diff_1" for v in lead], [f"{v}_cumsum_4" for v in lead]]
+
+
+def select_features(columns: Sequence[str], max_features: int = 20) -> list[str]:
+    """Names of the model's features among the given columns, at most `max_features`."""
+    place = {c: i for i, c in enumerate(columns)}
+    fixed, *fillers = ([c for c in block if c in place] for block in preferred_features())
+    return list(itertools.chain(fixed, *(sorted(block, key=place.__getitem__) for block in fillers)))[:max_features]
 
 
 def model_features(df: DataFrame, max_features: int = 20, ts: str = "ts", **layout) -> DataFrame:

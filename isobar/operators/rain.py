@@ -10,7 +10,7 @@ from isobar.functions.physics import clip
 from isobar.functions.text import exact_round
 
 HOURS = 6
-HOURLY = "array<struct<dt:bigint,pop:double,rain:struct<`1h`:double>>>"
+HOURLY = "array<struct<dt:bigint,pop:double,rain:map<string,double>>>"
 FALLBACK_PROBABILITY = 0.1
 
 
@@ -20,8 +20,8 @@ def next_hours(hourly: Column = None, n: int = HOURS) -> Column:
 
 
 def rains(rain: Column) -> Column:
-    """Whether a rain record says anything: present, with an amount in it."""
-    return F.coalesce(rain.isNotNull() & rain["1h"].isNotNull(), F.lit(False))
+    """Whether a rain record says anything: an object with any entry, of one hour, three hours or another period."""
+    return F.coalesce(F.size(F.map_keys(rain)) > 0, F.lit(False))
 
 
 def hour_summary(hours: Column) -> dict[str, Column]:

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +51,44 @@ def windows(df: DataFrame, features: Sequence[str], targets: Sequence[str] = C.T
     return series.drop_halo(wide, "_pos", chunk).filter(whole).drop("_pos", "_n_in")
 
 
+def windows_at(df: DataFrame, origins: DataFrame, features: Sequence[str], targets: Sequence[str] = C.TARGETS,
+               input_steps: int = C.INPUT_STEPS, output_steps: int = C.OUTPUT_STEPS, inputs: str = "window",
+               keys: Sequence[str] = KEYS, ts: str = "ts", step: int = C.STEP_SECONDS) -> DataFrame:
+    """``windows`` of a regular series at the given origins only, with the other columns of ``origins``.
+
+    The origins name the ticks they need, and only rows at those ticks go on, before anything is put together; a row
+    goes to each of its origins, so a group has as many rows as a window has steps. Origins without a whole window are left out.
+    """
+    if inputs not in ("window", "last"):
+        raise ValueError(f"inputs must be 'window' or 'last', not {inputs!r}")
+    known = [t for t in targets if t in df.columns]
+    needed = window_ticks(origins.select(*keys, "origin_ts").distinct(), input_steps, output_steps, step)
+    ids = [*keys, "origin_ts"]
+    rows = df.withColumn("_tick", series.chunk_of(sql_seconds(ts), step)).join(needed, [*keys, "_tick"])
+    past, at = F.col("_ahead") <= 0, F.col("_ahead") == 0
+
+    def in_order(chosen: Column, columns: Sequence[str]) -> Column:
+        pairs = F.sort_array(F.collect_list(F.when(chosen, F.struct("_ahead", _vector(columns).alias("v")))))
+        return F.transform(pairs, lambda p: p["v"])
+
+    kept = [in_order(past, features).alias("X")] if inputs == "window" else [F.max(F.when(at, F.col(c))).alias(c) for c in features]
+    found = rows.groupBy(*ids).agg(*kept, F.count_if(past).alias("_n_in"), in_order(~past, known).alias("y"))
+    whole = found.filter((F.col("_n_in") == input_steps) & (F.size("y") == output_steps)).drop("_n_in")
+    return whole.join(origins, ids)
+
+
+def window_ticks(origins: DataFrame, input_steps: int = C.INPUT_STEPS, output_steps: int = C.OUTPUT_STEPS, step: int = C.STEP_SECONDS) -> DataFrame:
+    """One row per origin and tick of its window: ``_tick``, and ``_ahead``, its distance in steps from the origin."""
+    return origins.withColumn("_ahead", F.explode(F.sequence(F.lit(1 - input_steps), F.lit(output_steps)))).withColumn(
+        "_tick", series.chunk_of(sql_seconds("origin_ts"), step) + F.col("_ahead"))
+
+
+def outside_windows(df: DataFrame, origins: DataFrame, keys: Sequence[str] = KEYS, ts: str = "ts", step: int = C.STEP_SECONDS) -> DataFrame:
+    """Rows of a regular series that no window of the given origins holds."""
+    taken = window_ticks(origins.select(*keys, "origin_ts").distinct(), step=step).select(*keys, "_tick")
+    return df.withColumn("_tick", series.chunk_of(sql_seconds(ts), step)).join(taken, [*keys, "_tick"], "left_anti").drop("_tick")
+
+
 def _vector(columns: Sequence[str]) -> Column:
     return F.expr("array(" + ", ".join(f"coalesce(cast({c} as float), 0F)" for c in columns) + ")")
 
@@ -72,10 +109,6 @@ def unpivot_targets(long: DataFrame, prefix: str, value: str, targets: Sequence[
     return long.select(*ids, F.expr(f"stack({len(targets)}, {pairs}) as (variable, {value})"))
 
 
-def stack_samples(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _hash(seed: int, columns: Sequence[str]) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
@@ -107,9 +140,9 @@ def pad_per_location(df: DataFrame, n: int = 40, seed: int = 42, keys: Sequence[
 
 
 def balance(df: DataFrame, n: int = 40, seed: int = 42, keys: Sequence[str] = KEYS,
-            unique: Sequence[str] = ("origin_ts",)) -> DataFrame:
-    """Exactly n rows per location: a choice of many, or repeats of few."""
-    return pad_per_location(cap_per_location(df, n, seed, keys, unique), n, seed, keys, unique)
+            unique: Sequence[str] = ("origin_ts",), rank: Column | None = None) -> DataFrame:
+    """Exactly n rows per location: a choice of many, or repeats of few. ``rank`` replaces the seeded hash of the choice."""
+    return pad_per_location(cap_per_location(df, n, seed, keys, unique, rank), n, seed, keys, unique)
 
 
 def split_sizes(n: int, test: float = 0.15, val: float = 0.15) -> tuple[int, int, int]:
@@ -155,7 +188,3 @@ def dataset_statistics(samples: DataFrame) -> DataFrame:
         counts = counts.join(values.groupBy("split").agg(
             F.avg("v").alias(f"{c}_mean"), F.stddev_pop("v").alias(f"{c}_std")), "split")
     return counts
-
-
-def weights_of(targets: Sequence[str], weights: Mapping[str, float] = C.LOSS_WEIGHTS) -> list[float]:
-    return [weights[t] for t in targets]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isobar import constants as C
-from isobar.operators import align, features, locations, metrics, scaling, sequences, series
+from isobar.operators import align, features, metrics, scaling, sequences, series
 from isobar.plans.stage import materialized
 from isobar.sources import tables
 
@@ -35,44 +35,32 @@ def model_rows(unified: DataFrame, chunk: int = series.CHUNK, regular: bool = Tr
 
 
 def build_dataset(unified: DataFrame, per_location: int = 40, seed: int = 42, fit_scope: str = "train",
-                  inputs: str = "window", exact_split: bool = True, chunk: int = series.CHUNK) -> Dataset:
+                  inputs: str = "window", exact_split: bool = True, chunk: int = series.CHUNK,
+                  rank: Column | None = None, bucket: Column | None = None) -> Dataset:
     """Scaled, sampled and split windows of a unified regular series of many locations.
 
-    With fit scope "train" the statistics come from the rows at the origins of training samples;
-    with "first_location" from all rows of the first location by name.
+    With fit scope "train" the statistics come from all rows that no validation or test window holds;
+    with "first_location" from all rows of the first location by name. ``rank`` replaces the seeded hash
+    by which origins are chosen and split, and ``bucket`` must not decrease along it.
     """
-    rows = model_rows(unified, chunk)
+    if fit_scope not in ("train", "first_location"):
+        raise ValueError(f"fit_scope must be 'train' or 'first_location', not {fit_scope!r}")
+    rows = materialized(model_rows(unified, chunk))
     names = [c for c in rows.columns if c not in ("location_id", "ts")]
     targets = [t for t in C.TARGETS if t in names]
 
-    if fit_scope == "first_location":
-        first = rows.agg(F.min("location_id")).scalar()
-        stats = scaling.fit_scaler(rows.filter(F.col("location_id") == first), names)
-        scaled = scaling.normalize(rows, scaling.stats_by_name(stats), names)
-        samples = _sampled(scaled, names, targets, inputs, per_location, seed, chunk)
-        return Dataset(_split(samples, exact_split, seed), stats, names, targets)
-    if fit_scope != "train":
-        raise ValueError(f"fit_scope must be 'train' or 'first_location', not {fit_scope!r}")
-
-    # The choice and the split depend on keys only, so training origins are known before scaling.
-    origins = _split(_origins(unified, per_location, seed, chunk), exact_split, seed)
-    origins = materialized(origins)
-    fit_on = materialized(rows.join(
-        origins.filter(F.col("split") == "train").select("location_id", F.col("origin_ts").alias("ts")).distinct(),
-        ["location_id", "ts"], "left_semi",
-    ))
-    stats = scaling.fit_scaler(fit_on, names)
+    # The choice and the split depend on keys only, so origins are known before scaling.
+    origins = materialized(_split(_origins(unified, per_location, seed, chunk, rank), exact_split, seed, rank, bucket))
+    if fit_scope == "train":
+        fit_on = sequences.outside_windows(rows, origins.filter(F.col("split") != "train"))
+    else:
+        fit_on = rows.filter(F.col("location_id") == rows.agg(F.min("location_id")).scalar())
+    stats = scaling.fit_scaler(materialized(fit_on), names)
     scaled = scaling.normalize(rows, scaling.stats_by_name(stats), names)
-    samples = sequences.windows(scaled, names, targets, inputs=inputs, regular=True, chunk=chunk)
-    return Dataset(samples.join(origins, IDS), stats, names, targets)
-
+    return Dataset(sequences.windows_at(scaled, origins, names, targets, inputs=inputs), stats, names, targets)
 
-def _sampled(scaled, names, targets, inputs, per_location, seed, chunk) -> DataFrame:
-    whole = sequences.windows(scaled, names, targets, inputs=inputs, regular=True, chunk=chunk)
-    return sequences.balance(whole, per_location, seed)
 
-
-def _origins(unified: DataFrame, per_location: int, seed: int, chunk: int) -> DataFrame:
+def _origins(unified: DataFrame, per_location: int, seed: int, chunk: int, rank: Column | None = None) -> DataFrame:
     """Keys of the sampled windows. On a regular series the possible origins follow from its extent."""
     ext = align.extents([unified])
     lead, tail = (C.INPUT_STEPS - 1) * C.STEP_SECONDS, C.OUTPUT_STEPS * C.STEP_SECONDS
@@ -80,12 +68,14 @@ def _origins(unified: DataFrame, per_location: int, seed: int, chunk: int) -> Da
         "location_id", align.plus_seconds(F.col("start_ts"), lead).alias("start_ts"),
         align.plus_seconds(F.col("end_ts"), -tail).alias("end_ts"),
     ).filter(F.col("start_ts") <= F.col("end_ts")), chunk=chunk)
-    return sequences.balance(usable.withColumnRenamed("ts", "origin_ts"), per_location, seed)
+    return sequences.balance(usable.withColumnRenamed("ts", "origin_ts"), per_location, seed, rank=rank)
 
 
-def _split(samples: DataFrame, exact: bool, seed: int) -> DataFrame:
+def _split(samples: DataFrame, exact: bool, seed: int, rank: Column | None = None, bucket: Column | None = None) -> DataFrame:
     unique = [*IDS, "copy"]
-    return sequences.split_exact(samples, unique, seed=seed) if exact else sequences.split_hashed(samples, unique, seed=seed)
+    if exact:
+        return sequences.split_exact(samples, unique, seed=seed, rank=rank, bucket=bucket)
+    return sequences.split_hashed(samples, unique, seed=seed)
 
 
 def horizon_columns(steps: int = C.OUTPUT_STEPS) -> dict[str, Column]:
@@ -158,10 +148,6 @@ def train(spark: SparkSession, unified: DataFrame, path: str | None = None, per_
     return model, dataset, scores
 
 
-def training_locations(all_locations: DataFrame, max_codes: int = 10, seed: int = 42) -> DataFrame:
-    return locations.stratified_sample(all_locations, max_codes, seed)
-
-
 def readiness(all_locations: DataFrame, observed: DataFrame, min_rows: int = C.INPUT_STEPS + C.OUTPUT_STEPS) -> DataFrame:
     """How many locations are known, and how many have enough rows for a training window."""
     enough = align.row_counts(observed, min_rows=min_rows)

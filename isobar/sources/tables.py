@@ -25,8 +25,8 @@ STATION_OBS = (
     "wspd double, wpgt double, pres double, tsun double, coco int"
 )
 PAYLOAD = (
-    "current struct<temp:double,humidity:double,clouds:double,rain:struct<`1h`:double>>, "
-    "hourly array<struct<dt:bigint,pop:double,rain:struct<`1h`:double>>>"
+    "current struct<temp:double,humidity:double,clouds:double,rain:map<string,double>>, "
+    "hourly array<struct<dt:bigint,pop:double,rain:map<string,double>>>"
 )
 PROVIDER_HOURS = 24
 

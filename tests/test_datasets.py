@@ -125,6 +125,8 @@ def payload(current, hourly):
     ({"humidity": 85, "clouds": 75, "rain": {"1h": 0.0}}, [{"pop": x, "rain": {"1h": 1} if i == 0 else None} for i, x in enumerate((.5, .4, .4, .1, 0, 0))], 1.0, "high"),
     ({"humidity": 85, "clouds": 0}, [{"pop": x} for x in (.5, .4, .4, .1, 0, 0, 1, 1)], 0.47, "medium"),
     ({"humidity": 80, "clouds": 70, "rain": {}}, [], 0.0, "low"),
+    ({"rain": {"3h": 1.5}}, [{"rain": {}}], 0.4, "medium"),
+    ({"rain": {}}, [{"rain": {"3h": 0.2}}], 0.1, "low"),
     ({}, [{}, {"rain": {"1h": 2}}, {"rain": {"1h": 2}}, {"rain": {"1h": 2}}], 0.3, "medium"),
 ])
 def test_rain_estimate(spark, current, hourly, p, label):

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from isobar import constants as C
 from isobar.functions import categories
-from isobar.operators import present, rain
+from isobar.functions.timegrid import sql_seconds
+from isobar.operators import present, rain, sequences
 from isobar.plans import forecasting, training
 from isobar.plans.stage import materialized
 from isobar.sources.tables import parse_payloads
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from workload.base import CHUNK, observed, place, query, sql_digits, sql_observed, sql_place, table
+from workload.base import CHUNK, digits, observed, place, query, sql_digits, sql_km, sql_observed, sql_place, table
+from workload.datasets import sql_stats
+from workload.moving import MODEL_SQL, sql_model
 
 def sql_exact(e: str, n: int) -> str:
     """Rounding of the stored binary value, halves to even."""
@@ -75,10 +78,11 @@ def payload_text(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     first = e.withColumn("rn", F.row_number().over(w)).filter("rn <= 30")
     hourly = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.expr(
-        "named_struct('rn', rn, 'h', named_struct('dt', event_id, 'pop', k / 100, 'rain', IF(value > 60, named_struct('1h', value), NULL)))"))).alias("hs"))
+        "named_struct('rn', rn, 'dt', event_id, 'pop', k / 100, 'value', value)"))).alias("hs"))
     newest = e.groupBy("user_id").agg(F.expr("max_by(struct(k, value), struct(ts, event_id))").alias("c"))
     body = F.expr("""to_json(named_struct('current', named_struct('temp', c.value, 'humidity', c.k, 'clouds', 100 - c.k,
-      'rain', IF(c.value > 40, named_struct('1h', c.value), NULL)), 'hourly', transform(hs, x -> x.h), 'daily', array(1, 2)))""")
+      'rain', IF(c.value > 40, map(IF(c.k > 50, '1h', '3h'), c.value), NULL)), 'hourly', transform(hs, x -> named_struct('dt', x.dt, 'pop', x.pop,
+        'rain', IF(x.value > 60, map(IF(x.dt % 2 = 0, '1h', '3h'), x.value), NULL))), 'daily', array(1, 2)))""")
     return hourly.join(newest, "user_id").select(F.col("user_id").cast("string").alias("location_id"), body.alias("payload"))
 
 
@@ -106,7 +110,6 @@ def provider_payloads(spark, sf):
 @query(f"WITH {SQL_PAYLOAD} SELECT location_id, {sql_digits('pop_sum')} AS pop_sum, CAST(pop_hours AS INTEGER) AS pop_hours, "
        "CAST(rain_hours AS INTEGER) AS rain_hours, CAST(n_hours AS INTEGER) AS n_hours FROM hrs")
 def provider_hours(spark, sf):
-    from workload.base import digits
     p = parse_payloads(payload_text(spark, sf)).select("location_id", *[e.alias(n) for n, e in rain.hour_summary(rain.next_hours()).items()])
     return p.withColumn("pop_sum", digits("pop_sum"))
 
@@ -128,12 +131,73 @@ def rain_for_locations(spark, sf):
 
 
 # Training and forecasting jobs.
-@query("""WITH n AS (SELECT count(DISTINCT event_type) * 40 AS n FROM events), t AS (SELECT n, ceil(0.15::DOUBLE * n) AS test FROM n),
-v AS (SELECT *, ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (n - test)) AS val FROM t)
-SELECT 'test' AS split, CAST(test AS BIGINT) AS n_samples FROM v UNION ALL SELECT 'val', CAST(val AS BIGINT) FROM v UNION ALL SELECT 'train', CAST(n - test - val AS BIGINT) FROM v""")
+SQL_ORIGIN_RANK = "md5(concat_ws('|', '42', location_id, CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)))"
+SQL_SPLIT_STATS = "\nUNION ALL ".join(
+    f"SELECT '{s}' AS split, n_samples, 24 AS input_steps, {len(MODEL_SQL)} AS n_features, 24 AS output_steps, 6 AS n_targets, {sql_digits('xm', 4)} AS X_mean, "
+    f"{sql_digits('xs', 4)} AS X_std, {sql_digits('ym', 4)} AS y_mean, {sql_digits('ys', 4)} AS y_std FROM summary WHERE split = '{s}'" for s in ("train", "val", "test"))
+
+
+def sql_training_dataset() -> str:
+    names = list(MODEL_SQL)
+    scaled = {c: f"CAST((coalesce(r.{c}, {c}_median) - {c}_mean) / {c}_std AS FLOAT)" for c in names}
+    return f"""WITH {sql_model()},
+placed AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY location_id) AS n FROM model),
+ranked AS (SELECT location_id, ts, i, {SQL_ORIGIN_RANK} AS h, row_number() OVER (PARTITION BY location_id ORDER BY {SQL_ORIGIN_RANK}, ts) AS rn FROM placed WHERE i >= 24 AND i + 24 <= n),
+drawn AS (SELECT *, row_number() OVER (ORDER BY h, location_id, ts) - 1 AS k, count(*) OVER () AS m FROM ranked WHERE rn <= 40),
+sized AS (SELECT *, ceil(0.15::DOUBLE * m) AS n_test FROM drawn),
+origins AS (SELECT location_id, i, CASE WHEN k < n_test THEN 'test' WHEN k < n_test + ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (m - n_test)) THEN 'val' ELSE 'train' END AS split FROM sized),
+held_out AS (SELECT DISTINCT o.location_id, o.i + d AS i FROM origins o, range(-23, 25) t(d) WHERE split <> 'train'),
+fitting AS (SELECT p.* FROM placed p ANTI JOIN held_out USING (location_id, i)),
+{sql_stats('fitting', names)},
+inputs AS (SELECT split, unnest([{', '.join(scaled.values())}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i - 23 AND o.i, stats),
+outputs AS (SELECT split, unnest([{', '.join(scaled[t] for t in C.TARGETS)}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i + 1 AND o.i + 24, stats),
+summary AS (SELECT split, n_samples, xm, xs, ym, ys FROM (SELECT split, count(*) AS n_samples FROM origins GROUP BY 1)
+  JOIN (SELECT split, avg(x::DOUBLE) AS xm, stddev_pop(x::DOUBLE) AS xs FROM inputs GROUP BY 1) USING (split)
+  JOIN (SELECT split, avg(x::DOUBLE) AS ym, stddev_pop(x::DOUBLE) AS ys FROM outputs GROUP BY 1) USING (split))
+{SQL_SPLIT_STATS}"""
+
+
+@query(sql_training_dataset())
 def training_dataset(spark, sf):
-    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK)
-    return data.samples.groupBy("split").agg(F.count(F.lit(1)).alias("n_samples"))
+    """Sizes, and means and deviations of all scaled inputs and targets, of each split."""
+    rank = F.md5(F.concat_ws("|", F.lit("42"), "location_id", F.expr(f"cast({sql_seconds('origin_ts')} as string)")))
+    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK, rank=rank, bucket=F.substring(rank, 1, 2))
+    out = sequences.dataset_statistics(materialized(data.samples))
+    return out.withColumns({c: digits(c, 4) for c in ("X_mean", "X_std", "y_mean", "y_std")})
+
+
+def code_requests(spark, sf):
+    """Codes of all shapes from customer numbers: short, padded, of a known prefix, and with letters."""
+    return table(spark, sf, "customer").select(F.expr(
+        "CASE c_custkey % 4 WHEN 0 THEN cast(c_custkey AS string) WHEN 1 THEN lpad(cast(c_custkey % 100000 AS string), 5, '0') "
+        "WHEN 2 THEN concat(element_at(array('31', '32', '33', '34'), cast(c_custkey % 16 div 4 + 1 AS int)), lpad(cast(c_custkey % 1000 AS string), 3, '0')) "
+        "ELSE concat('x', c_custkey) END").alias("code"))
+
+
+def code_places(spark, sf):
+    """Known locations by supplier number; those with an odd number have a series."""
+    s = table(spark, sf, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("location_id"), *[e.alias(n) for n, e in place("s_suppkey").items()])
+    return s, s.filter(F.col("location_id").cast("long") % 2 == 1).select("location_id")
+
+
+SQL_NEAREST = " UNION ALL ".join(
+    f"SELECT '{p}' AS prefix, arg_min(location_id, struct_pack(d := {sql_km('lat', 'lon', f'{lat}::DOUBLE', f'{lon}::DOUBLE')}, l := location_id)) AS near FROM served"
+    for p, (lat, lon) in C.PREFIX_COORDINATES.items())
+
+
+@query(f"""WITH requests AS (SELECT CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0')
+  WHEN 2 THEN (['31', '32', '33', '34'])[c_custkey % 16 // 4 + 1] || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') ELSE 'x' || c_custkey END AS code FROM customer),
+known AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS location_id, s_suppkey % 2 = 1 AS has, {sql_place('s_suppkey')} FROM supplier),
+served AS (SELECT * FROM known WHERE has), near AS ({SQL_NEAREST}),
+padded AS (SELECT code, CASE WHEN length(code) < 5 THEN lpad(code, 5, '0') ELSE code END AS full_code FROM requests),
+kinds AS (SELECT code, k.location_id AS exact, near, CASE WHEN k.location_id IS NOT NULL THEN 'exact' WHEN prefix IS NOT NULL THEN 'prefix' ELSE 'none' END AS match_kind
+  FROM padded LEFT JOIN known k ON k.location_id = full_code LEFT JOIN near ON prefix = substr(full_code, 1, 2))
+SELECT code, match_kind, CASE WHEN length(code) = 5 THEN coalesce(exact, near) END AS place,
+  CASE WHEN length(code) <> 5 THEN '{C.ERROR_INVALID}' WHEN match_kind = 'none' THEN '{C.ERROR_UNKNOWN}' || code END AS error FROM kinds""")
+def request_places(spark, sf):
+    """Which series answers each requested code, and the error of those that none answers."""
+    known, served = code_places(spark, sf)
+    return forecasting.resolve_requests(code_requests(spark, sf), known, served).select("code", "match_kind", "place", "error")
 
 
 @query()
