@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from isobar import constants as C
 from isobar.functions import physics
 from isobar.operators import align, features, locations, present, scaling, series
 from isobar.plans.stage import materialized
-from isobar.plans.training import score
+from isobar.plans.training import Forecaster, score
 INVALID, UNKNOWN, NO_DATA = C.ERROR_INVALID, C.ERROR_UNKNOWN, C.ERROR_NO_DATA
 
 
@@ -64,7 +63,7 @@ def resolve_requests(requests: DataFrame, all_locations: DataFrame, served: Data
     return placed.withColumns({"error": error, "place": F.when(valid, place)}).drop("location_id")
 
 
-def forecast(requests: DataFrame, all_locations: DataFrame, recent: DataFrame, model: PipelineModel,
+def forecast(requests: DataFrame, all_locations: DataFrame, recent: DataFrame, model: Forecaster,
              stats: DataFrame | Mapping, names: Sequence[str], targets: Sequence[str] = C.TARGETS,
              code: str = "code", regular: bool = True, chunk: int = series.CHUNK) -> DataFrame:
     """Formatted forecast steps for the requested codes, at the coordinates of each request.

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from isobar.plans.stage import materialized
 from isobar.sources import tables
 
 IDS = ["location_id", "origin_ts"]
+MODEL = "target string, feature string, horizon int, value double"
 
 
 @dataclass
@@ -78,45 +78,95 @@ def _split(samples: DataFrame, exact: bool, seed: int, rank: Column | None = Non
     return sequences.split_hashed(samples, unique, seed=seed)
 
 
-def horizon_columns(steps: int = C.OUTPUT_STEPS) -> dict[str, Column]:
-    return {f"horizon_{h}": (F.col("horizon") == h).cast("double") for h in range(1, steps + 1)}
-
-
-def fit_forecaster(long: DataFrame, feature_names: Sequence[str], targets: Sequence[str] = C.TARGETS,
-                   steps: int = C.OUTPUT_STEPS, reg: float = 1e-3) -> PipelineModel:
-    """One linear model per target over all steps, each step with its own intercept.
+@dataclass
+class Forecaster:
+    """Linear models of all targets: slopes per target and feature, and an intercept per target and step."""
 
-    ``long`` has the features at the origin, ``horizon`` and ``target_{variable}`` columns.
+    features: list[str]
+    targets: list[str]
+    slopes: list[list[float]]
+    intercepts: list[list[float]]
+
+    def predict(self, rows: DataFrame, prefix: str = "") -> DataFrame:
+        """``rows`` with a column ``{prefix}{target}`` for each target; they have the features at the origin and ``horizon``."""
+        out = {}
+        for target, slopes, steps in zip(self.targets, self.slopes, self.intercepts):
+            intercept = F.element_at(F.array(*[F.lit(float(x)) for x in steps]), F.col("horizon").cast("int"))
+            out[f"{prefix}{target}"] = reduce(lambda s, p: s + F.lit(float(p[1])) * F.col(p[0]), zip(self.features, slopes), intercept)
+        return rows.withColumns(out)
+
+    def write(self, spark: SparkSession, path: str) -> None:
+        rows = [(t, f, None, float(v)) for t, vs in zip(self.targets, self.slopes) for f, v in zip(self.features, vs)]
+        rows += [(t, None, h, float(v)) for t, vs in zip(self.targets, self.intercepts) for h, v in enumerate(vs, 1)]
+        spark.createDataFrame(rows, MODEL).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, features: Sequence[str], targets: Sequence[str] = C.TARGETS) -> Forecaster:
+        rows = spark.read.schema(MODEL).parquet(path).collect()
+        slope = {(r["target"], r["feature"]): r["value"] for r in rows if r["feature"] is not None}
+        step = {(r["target"], r["horizon"]): r["value"] for r in rows if r["horizon"] is not None}
+        steps = max(h for _, h in step)
+        return Forecaster(list(features), list(targets), [[slope[t, f] for f in features] for t in targets],
+                          [[step[t, h] for h in range(1, steps + 1)] for t in targets])
+
+
+def normal_sums(samples: DataFrame, feature_names: Sequence[str], n_targets: int, steps: int = C.OUTPUT_STEPS) -> dict[str, float]:
+    """Everything that the least squares of all targets and steps depend on, in one pass and one row.
+
+    Each sample has the same features for all its steps, so with an intercept per step the slopes follow from the mean
+    target over the steps. The sums are partial in every task, and their number does not depend on the data.
     """
-    ready = materialized(long.withColumns(horizon_columns(steps)))
-    stages = [VectorAssembler(inputCols=[*feature_names, *horizon_columns(steps)], outputCol="features")]
-    stages += [
-        LinearRegression(featuresCol="features", labelCol=f"target_{t}", predictionCol=f"predicted_{t}",
-                         solver="normal", regParam=reg)
-        for t in targets
-    ]
-    return Pipeline(stages=stages).fit(ready)
-
-
-def score(model: PipelineModel, origins: DataFrame, targets: Sequence[str] = C.TARGETS, steps: int = C.OUTPUT_STEPS,
+    mean = [F.expr(f"aggregate(y, 0D, (s, v) -> s + v[{t}]) / {steps}") for t in range(n_targets)]
+    ready = samples.select(*feature_names, "y", *[m.alias(f"_y{t}") for t, m in enumerate(mean)])
+    names = [*feature_names, *[f"_y{t}" for t in range(n_targets)]]
+    sums = {"n": F.count(F.lit(1))}
+    for i, a in enumerate(names):
+        sums[f"s_{i}"] = F.sum(a)
+        for j in range(i, len(names)) if i < len(feature_names) else ():
+            sums[f"p_{i}_{j}"] = F.sum(F.col(a) * F.col(names[j]))
+    for t in range(n_targets):
+        for h in range(steps):
+            sums[f"y_{t}_{h}"] = F.sum(F.col("y")[h][t].cast("double"))
+    return ready.agg(*[c.alias(n) for n, c in sums.items()]).first().asDict()
+
+
+def fit_forecaster(samples: DataFrame, feature_names: Sequence[str], targets: Sequence[str] = C.TARGETS,
+                   steps: int = C.OUTPUT_STEPS, reg: float = 1e-3) -> Forecaster:
+    """One linear model per target over all steps, each step with its own intercept, by ridge regression.
+
+    ``samples`` have the features at the origin and ``y``. Only sums reach the driver, which solves one system of as many
+    unknowns as features for all targets at once.
+    """
+    k, m = len(feature_names), len(targets)
+    sums = normal_sums(samples, feature_names, m, steps)
+    n = sums["n"]
+    if not n:
+        raise ValueError("no samples to fit on")
+    mean = np.array([sums[f"s_{i}"] for i in range(k + m)]) / n
+    cov = np.array([[sums[f"p_{min(i, j)}_{max(i, j)}"] for j in range(k + m)] for i in range(k)]) / n - np.outer(mean[:k], mean)
+    slopes = np.linalg.solve(cov[:, :k] + reg * np.eye(k), cov[:, k:]).T
+    steps_mean = np.array([[sums[f"y_{t}_{h}"] for h in range(steps)] for t in range(m)]) / n
+    return Forecaster(list(feature_names), list(targets), slopes.tolist(), (steps_mean - (slopes @ mean[:k])[:, None]).tolist())
+
+
+def score(model: Forecaster, origins: DataFrame, targets: Sequence[str] = C.TARGETS, steps: int = C.OUTPUT_STEPS,
           keep: Sequence[str] = ()) -> DataFrame:
     """Predictions for all steps after each origin: one row per step, one column per target, still scaled."""
     if "horizon" not in origins.columns:
         origins = origins.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    scored = model.transform(origins.withColumns(horizon_columns(steps)))
-    return scored.select(*IDS, "horizon", *keep, *[F.col(f"predicted_{t}").alias(t) for t in targets])
+    scored = model.predict(origins, "_predicted_")
+    return scored.select(*IDS, "horizon", *keep, *[F.col(f"_predicted_{t}").alias(t) for t in targets])
+
 
+def evaluate(model: Forecaster, dataset: Dataset, split: str = "test") -> dict[str, DataFrame]:
+    """Weighted error on scaled values, and scores per variable in original units.
 
-def evaluate(model: PipelineModel, dataset: Dataset, split: str = "test") -> dict[str, DataFrame]:
-    """Weighted error on scaled values, and scores per variable in original units."""
+    Predictions stand beside their targets from the start, so nothing is joined.
+    """
     test = sequences.long_targets(dataset.samples.filter(F.col("split") == split), dataset.targets)
-    ids = [*IDS, "copy", "horizon"]
-    predicted = score(model, test, dataset.targets, keep=["copy"])
-    scaled = metrics.pair(
-        sequences.unpivot_targets(predicted, "", "prediction", dataset.targets, ids),
-        sequences.unpivot_targets(test, "target_", "target", dataset.targets, ids),
-        [*ids, "variable"],
-    )
+    pairs = ", ".join(f"'{t}', `predicted_{t}`, `target_{t}`" for t in dataset.targets)
+    scaled = model.predict(test, "predicted_").select(
+        *IDS, "copy", "horizon", F.expr(f"stack({len(dataset.targets)}, {pairs}) as (variable, prediction, target)"))
     known = scaling.stats_by_name(dataset.stats)
     std, mean = (_per_variable({t: known[t][i] for t in dataset.targets}) for i in (2, 1))
     original = scaled.withColumns({
@@ -133,15 +183,14 @@ def _per_variable(values: Mapping[str, float]) -> Column:
 
 
 def train(spark: SparkSession, unified: DataFrame, path: str | None = None, per_location: int = 40, seed: int = 42,
-          chunk: int = series.CHUNK) -> tuple[PipelineModel, Dataset, dict[str, DataFrame]]:
+          chunk: int = series.CHUNK, rank: Column | None = None, bucket: Column | None = None) -> tuple[Forecaster, Dataset, dict[str, DataFrame]]:
     """Prepare, fit, evaluate, and keep the model with its statistics under ``path``."""
-    dataset = build_dataset(materialized(unified), per_location, seed, inputs="last", chunk=chunk)
+    dataset = build_dataset(materialized(unified), per_location, seed, inputs="last", chunk=chunk, rank=rank, bucket=bucket)
     dataset.samples = materialized(dataset.samples)
-    long = sequences.long_targets(dataset.samples.filter(F.col("split") == "train"), dataset.targets)
-    model = fit_forecaster(long, dataset.features, dataset.targets)
+    model = fit_forecaster(dataset.samples.filter(F.col("split") == "train"), dataset.features, dataset.targets)
     scores = evaluate(model, dataset)
     if path:
-        model.write().overwrite().save(f"{path}/model")
+        model.write(spark, f"{path}/model")
         tables.write_dataset_info(spark, f"{path}/info", dataset.features, dataset.targets, C.INPUT_STEPS,
                                   C.OUTPUT_STEPS, dataset.stats)
         tables.write_feature_list(spark, f"{path}/feature_columns", dataset.features)

@@ -10,8 +10,8 @@ import pytest
 import workload
 from tests.conftest import DATA
 
-# Training runs are tested with their own data.
-SLOW = {"forecaster_scores", "forecast_for_codes"}
+# Queries left to the comparison at the larger scale.
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from isobar import constants as C
 from isobar.operators import sequences
 from isobar.plans import forecasting, training
 from isobar.sources import tables
+from tests.conftest import at
 from tests.test_datasets import series
 
 
@@ -79,3 +82,23 @@ def test_forecast_of_short_prefix_and_known_codes(spark):
     assert {(r.lat, r.lon) for r in out if r.code == "31999"} == {(28.632, -106.069)}
     steps = {c: sorted((r.horizon, r.temp) for r in out if r.code == c) for c in ("00005", "31999")}
     assert steps["00005"] == steps["31999"]
+
+
+def test_forecaster_equals_least_squares_and_is_kept(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x, targets = rng.normal(size=(80, 3)), C.TARGETS[:2]
+    y = rng.normal(size=(80, 24, 2)) + (x @ rng.normal(size=(3, 2)))[:, None, :]
+    rows = [("a", at(15 * i), *map(float, x[i]), [[float(v) for v in step] for step in y[i]]) for i in range(80)]
+    df = spark.createDataFrame(rows, "location_id string, origin_ts timestamp_ntz, f0 double, f1 double, f2 double, y array<array<float>>").repartition(3)
+    model = training.fit_forecaster(df, ["f0", "f1", "f2"], targets, reg=0.0)
+    # Every step is a row of its own with an indicator of its step.
+    wide = np.concatenate([np.repeat(x, 24, 0), np.tile(np.eye(24), (80, 1))], 1)
+    best = np.linalg.lstsq(wide, y.astype(np.float32).astype(float).reshape(-1, 2), rcond=None)[0]
+    assert np.allclose(model.slopes, best[:3].T) and np.allclose(model.intercepts, best[3:].T)
+    model.write(spark, str(tmp_path / "m"))
+    again = training.Forecaster.read(spark, str(tmp_path / "m"), model.features, targets)
+    assert again == model
+    got = training.score(again, df.drop("y"), targets).filter("horizon = 5").orderBy("origin_ts").collect()
+    assert np.allclose([r[targets[1]] for r in got], (wide @ best).reshape(80, 24, 2)[:, 4, 1])
+    with pytest.raises(ValueError):
+        training.fit_forecaster(df.limit(0), ["f0"], targets)

@@ -137,9 +137,22 @@ SQL_SPLIT_STATS = "\nUNION ALL ".join(
     f"{sql_digits('xs', 4)} AS X_std, {sql_digits('ym', 4)} AS y_mean, {sql_digits('ys', 4)} AS y_std FROM summary WHERE split = '{s}'" for s in ("train", "val", "test"))
 
 
+EXACT = {c: f"((coalesce(r.{c}, {c}_median) - {c}_mean) / {c}_std)" for c in MODEL_SQL}
+SCALED = {c: f"CAST({e} AS FLOAT)" for c, e in EXACT.items()}
+
+
 def sql_training_dataset() -> str:
-    names = list(MODEL_SQL)
-    scaled = {c: f"CAST((coalesce(r.{c}, {c}_median) - {c}_mean) / {c}_std AS FLOAT)" for c in names}
+    return f"""{sql_samples()},
+inputs AS (SELECT split, unnest([{', '.join(SCALED.values())}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i - 23 AND o.i, stats),
+outputs AS (SELECT split, unnest([{', '.join(SCALED[t] for t in C.TARGETS)}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i + 1 AND o.i + 24, stats),
+summary AS (SELECT split, n_samples, xm, xs, ym, ys FROM (SELECT split, count(*) AS n_samples FROM origins GROUP BY 1)
+  JOIN (SELECT split, avg(x::DOUBLE) AS xm, stddev_pop(x::DOUBLE) AS xs FROM inputs GROUP BY 1) USING (split)
+  JOIN (SELECT split, avg(x::DOUBLE) AS ym, stddev_pop(x::DOUBLE) AS ys FROM outputs GROUP BY 1) USING (split))
+{SQL_SPLIT_STATS}"""
+
+
+def sql_samples() -> str:
+    """Origins with their split, and statistics, in CTEs."""
     return f"""WITH {sql_model()},
 placed AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY location_id) AS n FROM model),
 ranked AS (SELECT location_id, ts, i, {SQL_ORIGIN_RANK} AS h, row_number() OVER (PARTITION BY location_id ORDER BY {SQL_ORIGIN_RANK}, ts) AS rn FROM placed WHERE i >= 24 AND i + 24 <= n),
@@ -148,20 +161,13 @@ sized AS (SELECT *, ceil(0.15::DOUBLE * m) AS n_test FROM drawn),
 origins AS (SELECT location_id, i, CASE WHEN k < n_test THEN 'test' WHEN k < n_test + ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (m - n_test)) THEN 'val' ELSE 'train' END AS split FROM sized),
 held_out AS (SELECT DISTINCT o.location_id, o.i + d AS i FROM origins o, range(-23, 25) t(d) WHERE split <> 'train'),
 fitting AS (SELECT p.* FROM placed p ANTI JOIN held_out USING (location_id, i)),
-{sql_stats('fitting', names)},
-inputs AS (SELECT split, unnest([{', '.join(scaled.values())}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i - 23 AND o.i, stats),
-outputs AS (SELECT split, unnest([{', '.join(scaled[t] for t in C.TARGETS)}]) AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i + 1 AND o.i + 24, stats),
-summary AS (SELECT split, n_samples, xm, xs, ym, ys FROM (SELECT split, count(*) AS n_samples FROM origins GROUP BY 1)
-  JOIN (SELECT split, avg(x::DOUBLE) AS xm, stddev_pop(x::DOUBLE) AS xs FROM inputs GROUP BY 1) USING (split)
-  JOIN (SELECT split, avg(x::DOUBLE) AS ym, stddev_pop(x::DOUBLE) AS ys FROM outputs GROUP BY 1) USING (split))
-{SQL_SPLIT_STATS}"""
+{sql_stats('fitting', list(MODEL_SQL))}"""
 
 
 @query(sql_training_dataset())
 def training_dataset(spark, sf):
     """Sizes, and means and deviations of all scaled inputs and targets, of each split."""
-    rank = F.md5(F.concat_ws("|", F.lit("42"), "location_id", F.expr(f"cast({sql_seconds('origin_ts')} as string)")))
-    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK, rank=rank, bucket=F.substring(rank, 1, 2))
+    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
     out = sequences.dataset_statistics(materialized(data.samples))
     return out.withColumns({c: digits(c, 4) for c in ("X_mean", "X_std", "y_mean", "y_std")})
 
@@ -200,21 +206,80 @@ def request_places(spark, sf):
     return forecasting.resolve_requests(code_requests(spark, sf), known, served).select("code", "match_kind", "place", "error")
 
 
-@query()
+def sql_fitted() -> str:
+    """Ridge regression of all targets from moments, the system solved by elimination, in CTEs."""
+    k, m = len(MODEL_SQL), len(C.TARGETS)
+    return f"""{sql_samples().replace("WITH ", "WITH RECURSIVE ", 1)},
+xs AS MATERIALIZED (SELECT o.location_id, o.i, split, [{', '.join(EXACT.values())}]::DOUBLE[] AS x FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i = o.i, stats),
+ys AS MATERIALIZED (SELECT o.location_id, o.i, split, r.i - o.i AS h, [{', '.join(SCALED[t] for t in C.TARGETS)}]::DOUBLE[] AS y
+  FROM origins o JOIN placed r ON r.location_id = o.location_id AND r.i BETWEEN o.i + 1 AND o.i + 24, stats),
+z AS MATERIALIZED (SELECT list_concat(any_value(x), [{', '.join(f'avg(y[{t}])' for t in range(1, m + 1))}]) AS z FROM xs JOIN ys USING (location_id, i) WHERE xs.split = 'train' GROUP BY location_id, i),
+moments AS (SELECT a, b, avg(z[a] * z[b]) - avg(z[a]) * avg(z[b]) + CASE WHEN a = b THEN 1e-3::DOUBLE ELSE 0 END AS v FROM z, range(1, {k + 1}) r(a), range(1, {k + m + 1}) q(b) GROUP BY a, b),
+matrix AS (SELECT list(v ORDER BY a) AS rows FROM (SELECT a, list(v ORDER BY b) AS v FROM moments GROUP BY a)),
+solve AS (SELECT 1 AS p, rows FROM matrix UNION ALL
+  SELECT p + 1, list_transform(range(1, {k + 1}), lambda r: CASE WHEN r = p THEN list_transform(rows[p], lambda v: v / rows[p][p])
+    ELSE list_transform(range(1, {k + m + 1}), lambda c: rows[r][c] - rows[r][p] * rows[p][c] / rows[p][p]) END) FROM solve WHERE p <= {k}),
+slopes AS MATERIALIZED (SELECT t, list_transform(range(1, {k + 1}), lambda a: rows[a][{k} + t]) AS slope FROM solve, range(1, {m + 1}) q(t) WHERE p = {k + 1}),
+centre AS MATERIALIZED (SELECT list(v ORDER BY a) AS mean FROM (SELECT a, avg(z[a]) AS v FROM z, range(1, {k + 1}) r(a) GROUP BY a)),
+offsets AS MATERIALIZED (SELECT t, h, any_value(avg_y) - any_value(list_dot_product(slope, mean)) AS intercept
+  FROM (SELECT t, h, avg(y[t]) AS avg_y FROM ys, range(1, {m + 1}) q(t) WHERE split = 'train' GROUP BY t, h) JOIN slopes USING (t), centre GROUP BY t, h)"""
+
+
+def sql_forecaster() -> str:
+    """Scores of the fitted models on the test windows."""
+    m = len(C.TARGETS)
+    target = {name: "CASE t " + " ".join(f"WHEN {i} THEN any_value({c}_{name})" for i, c in enumerate(C.TARGETS, 1)) + " END" for name in ("mean", "std")}
+    named = "CASE t " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(C.TARGETS, 1)) + " END"
+    weight = "CASE t " + " ".join(f"WHEN {i} THEN {float(C.LOSS_WEIGHTS[c])}" for i, c in enumerate(C.TARGETS, 1)) + " END"
+    return f"""{sql_fitted()},
+pairs AS MATERIALIZED (SELECT t, list_dot_product(slope, x) + intercept AS prediction, y[t] AS target FROM ys JOIN xs USING (location_id, i) JOIN offsets USING (h) JOIN slopes USING (t) WHERE ys.split = 'test'),
+scale AS (SELECT t, {target['mean']} AS mean, {target['std']} AS std FROM stats, range(1, {m + 1}) q(t) GROUP BY t),
+original AS (SELECT t, prediction * std + mean AS prediction, target * std + mean AS target FROM pairs JOIN scale USING (t))
+SELECT {named} AS variable, count(*) AS n, {sql_digits('avg(pow(prediction - target, 2))', 4)} AS mse, {sql_digits('sqrt(avg(pow(prediction - target, 2)))', 5)} AS rmse,
+  {sql_digits('avg(abs(prediction - target))', 5)} AS mae, {sql_digits('CASE WHEN var_pop(target) <> 0 THEN 1 - sum(pow(prediction - target, 2)) / (var_pop(target) * count(*)) ELSE 0 END', 5)} AS r2
+FROM original GROUP BY t
+UNION ALL SELECT 'weighted loss', NULL, {sql_digits(f'avg({weight} * pow(prediction - target, 2))', 4)}, NULL, NULL, NULL FROM pairs"""
+
+
+def origin_rank():
+    return F.md5(F.concat_ws("|", F.lit("42"), "location_id", F.expr(f"cast({sql_seconds('origin_ts')} as string)")))
+
+
+@query(sql_forecaster())
 def forecaster_scores(spark, sf):
     """Fit on all locations, scores per variable on held-out windows."""
-    _, _, scores = training.train(spark, observed(spark, sf), chunk=CHUNK)
+    _, _, scores = training.train(spark, observed(spark, sf), chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
     loss = scores["loss"].select(F.lit("weighted loss").alias("variable"), F.col("weighted_mse").alias("mse"))
-    return scores["per_variable"].unionByName(loss, allowMissingColumns=True)
-
-
-@query()
+    out = scores["per_variable"].unionByName(loss, allowMissingColumns=True)
+    return out.select("variable", "n", digits("mse", 4).alias("mse"), *[digits(c, 5).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+def sql_forecast_for_codes() -> str:
+    predicted = ", ".join(f"(list_dot_product(s[{t}], x) + c[{t}]) * {v}_std + {v}_mean AS {v}" for t, v in enumerate(C.TARGETS, 1))
+    prefixes = {axis: "CASE substr(code, 1, 2) " + " ".join(f"WHEN '{p}' THEN {at[i]}::DOUBLE" for p, at in C.PREFIX_COORDINATES.items()) + " END" for i, axis in enumerate(("lat", "lon"))}
+    return f"""{sql_fitted()},
+known AS (SELECT DISTINCT location_id, {sql_place('ascii(location_id)')} FROM observed), served AS (SELECT * FROM known), near AS ({SQL_NEAREST}),
+requests AS (SELECT location_id AS code FROM known UNION SELECT CAST(c_custkey * 41 AS VARCHAR) FROM customer UNION SELECT unnest(['5', '00005', '31999'])),
+asked AS (SELECT code, CASE WHEN length(code) = 5 THEN coalesce(k.location_id, near) END AS place, coalesce(k.lat, {prefixes['lat']}) AS lat, coalesce(k.lon, {prefixes['lon']}) AS lon,
+    CASE WHEN length(code) <> 5 THEN '{C.ERROR_INVALID}' WHEN k.location_id IS NULL AND near IS NULL THEN '{C.ERROR_UNKNOWN}' || code END AS error
+  FROM requests LEFT JOIN known k ON k.location_id = code LEFT JOIN near ON prefix = substr(code, 1, 2)),
+newest AS (SELECT r.location_id, r.ts, [{', '.join(EXACT.values())}]::DOUBLE[] AS x FROM placed r, stats WHERE r.i = r.n AND r.n >= 24),
+fitted AS (SELECT list(slope ORDER BY t) AS s FROM slopes), offset_lists AS (SELECT h, list(intercept ORDER BY t) AS c FROM offsets GROUP BY h),
+scored AS (SELECT code AS location_id, lat, lon, n.ts AS origin_ts, n.ts + to_minutes(CAST(15 * h AS BIGINT)) AS ts, CAST(h AS INTEGER) AS horizon, {predicted}
+  FROM asked JOIN newest n ON n.location_id = place, fitted, offset_lists, stats),
+{SQL_FORMAT[SQL_FORMAT.index("steps AS ("):]}
+SELECT code, place AS location_id, coalesce(error, CASE WHEN horizon IS NULL THEN '{C.ERROR_NO_DATA}' END) AS error, f.* EXCLUDE (location_id)
+FROM asked LEFT JOIN formatted f ON f.location_id = code"""
+
+
+@query(sql_forecast_for_codes())
 def forecast_for_codes(spark, sf):
-    """Forecasts for every kind of event as location, and error rows for codes without data."""
+    """Forecasts for every kind of event as location, for codes known by their prefix, and error rows for all others."""
     o = materialized(observed(spark, sf))
-    model, data, _ = training.train(spark, o, chunk=CHUNK)
+    model, data, _ = training.train(spark, o, chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
     kinds = o.select("location_id").distinct().withColumn("_k", F.ascii("location_id"))
     known = kinds.select("location_id", *[e.alias(n) for n, e in place("_k").items()])
     asked = kinds.select(F.col("location_id").alias("code")).unionByName(
-        table(spark, sf, "customer").select((F.col("c_custkey") * 41).cast("string").alias("code")))
+        table(spark, sf, "customer").select((F.col("c_custkey") * 41).cast("string").alias("code"))).unionByName(
+        spark.createDataFrame([("5",), ("00005",), ("31999",)], "code string"))
     return forecasting.forecast(asked, known, o, model, data.stats, data.features, chunk=CHUNK)
