@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isobar import constants as C
@@ -13,73 +14,61 @@ from isobar.operators.features import numeric_columns
 
 STATS = "column string, median double, mean double, std_pop double"
 ACCURACY = 10_000
+# Bins of a histogram per column and round.
+BINS = 512
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], gather: int = 1_000_000) -> dict[str, float | None]:
-    """Exact median of each column.
+def exact_medians(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, float | None]:
+    """Exact median of each column, None for a column without values.
 
-    A mergeable quantile summary gives a bracket around the middle, which is checked by counting; the
-    bracket narrows until it holds few enough values to be ranked. Only these counts and brackets
-    reach the driver, a fixed number per column and round.
+    The middle values are found by refined histograms: each round one job counts, for all columns at once, the values in
+    equal bins of the column's bracket, with the smallest and largest value of each bin. The bin that holds the middle is the next
+    bracket; its ends are values, so it holds fewer distinct values each time, however they are spread or repeated. Only the
+    bins reach the driver, a fixed number per column and round. ``df`` is read once a round: give a table.
     """
     columns = list(columns)
-    clean = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
-    counts = clean.agg(*[F.count(c).alias(c) for c in columns]).first()
-    # Per column: bracket, values below it, values inside it.
-    state = {c: (None, None, 0, counts[c]) for c in columns if counts[c]}
-    ranks = {c: ((counts[c] - 1) // 2, counts[c] // 2) for c in state}
-
-    while True:
-        wide = [c for c, (lo, hi, _, inside) in state.items() if inside > gather and (lo is None or lo < hi)]
-        if not wide:
-            break
-        guesses = []
-        for c in wide:
-            lo, hi, below, inside = state[c]
-            low = max(0.0, (ranks[c][0] - below) / inside - 2 / ACCURACY)
-            high = min(1.0, (ranks[c][1] - below + 1) / inside + 2 / ACCURACY)
-            guesses.append(F.percentile_approx(_within(c, lo, hi), [low, high], ACCURACY).alias(c))
-        found = clean.agg(*guesses).first()
-        checks = []
-        for c in wide:
-            lo, hi = found[c]
-            checks += [F.count_if(F.col(c) < lo).alias(f"{c}__below"),
-                       F.count_if(F.col(c).between(lo, hi)).alias(f"{c}__inside")]
-        checked = clean.agg(*checks).first()
-        narrowed = False
-        for c in wide:
-            below, inside = checked[f"{c}__below"], checked[f"{c}__inside"]
-            if below <= ranks[c][0] and ranks[c][1] < below + inside and inside < state[c][3]:
-                state[c] = (*found[c], below, inside)
-                narrowed = True
-        if not narrowed:
-            break
-
+    clean = df.select(*[finite(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = clean.agg(*[f(f"c{i}").alias(f"{f.__name__}{i}") for i in range(len(columns)) for f in (F.count, F.min, F.max)]).first()
     medians: dict[str, float | None] = dict.fromkeys(columns)
-    if not state:
-        return medians
-    pairs = ", ".join(f"'{c}', `{c}`" for c in state)
-    bracketed = clean.select(*[_within(c, lo, hi).alias(c) for c, (lo, hi, _, _) in state.items()])
-    tallies = (
-        bracketed.select(F.expr(f"stack({len(state)}, {pairs}) as (name, value)"))
-        .filter(F.col("value").isNotNull()).groupBy("name", "value").count()
-    )
-    upto = Window.partitionBy("name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.lit(False)
-    for c, (k1, k2) in ranks.items():
-        below = state[c][2]
-        first, last = F.col("_upto") - F.col("count"), F.col("_upto") - 1
-        wanted = wanted | ((F.col("name") == c) & (
-            F.lit(k1 - below).between(first, last) | F.lit(k2 - below).between(first, last)))
-    # One or two rows per column.
-    for r in tallies.withColumn("_upto", F.sum("count").over(upto)).filter(wanted).groupBy("name").agg(
-            F.min("value").alias("lo"), F.max("value").alias("hi")).collect():
-        medians[r["name"]] = (r["lo"] + r["hi"]) / 2
+    # Per column: bracket, values below it, and the places of the two middle values.
+    left = {}
+    for i, c in enumerate(columns):
+        n, lo, hi = ends[f"count{i}"], ends[f"min{i}"], ends[f"max{i}"]
+        if n and lo == hi:
+            medians[c] = lo
+        elif n:
+            left[i] = (lo, hi, 0, (n - 1) // 2, n // 2)
+    while left:
+        found: dict[int, list] = {i: [] for i in left}
+        for r in _histograms(clean, {i: x[:2] for i, x in left.items()}, bins):
+            found[r["column"]].append((r["bin"], r["n"], r["lo"], r["hi"]))
+        for i, rows in found.items():
+            _, _, below, first, last = left.pop(i)
+            middle = []
+            for _, n, lo, hi in sorted(rows):
+                middle += [(lo, hi, below, k - below, n) for k in (first, last) if below <= k < below + n]
+                below += n
+            low, high = middle
+            # Two middle values in different bins are the end of one and the start of the other.
+            if low[:2] != high[:2]:
+                medians[columns[i]] = (low[1] + high[0]) / 2
+            elif low[0] == low[1]:
+                medians[columns[i]] = low[0]
+            else:
+                left[i] = (low[0], low[1], low[2], first, last)
     return medians
 
 
-def _within(c: str, lo: float | None, hi: float | None) -> Column:
-    return F.col(c) if lo is None else F.when(F.col(c).between(lo, hi), F.col(c))
+def _histograms(clean: DataFrame, brackets: Mapping[int, tuple[float, float]], bins: int) -> list:
+    """(column, bin, n, lo, hi) of the values of each column inside its bracket."""
+    parts = []
+    for i, (lo, hi) in brackets.items():
+        v, low, high = F.col(f"c{i}"), F.lit(lo), F.lit(hi)
+        share = (v - low) / (high - low) if math.isfinite(hi - lo) else (v / 2 - low / 2) / (high / 2 - low / 2)
+        place = F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+        parts.append(F.when(v.between(lo, hi), F.struct(F.lit(i).alias("column"), place.alias("bin"), v.alias("v"))))
+    return (clean.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p")).groupBy("p.column", "p.bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("lo"), F.max("p.v").alias("hi")).collect())
 
 
 def approximate_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isobar import constants as C
-from isobar.operators import sequences
+from isobar.operators import scaling, sequences
 from isobar.plans import forecasting, training
 from isobar.sources import tables
 from tests.conftest import at
@@ -102,3 +102,19 @@ def test_forecaster_equals_least_squares_and_is_kept(spark, tmp_path):
     assert np.allclose([r[targets[1]] for r in got], (wide @ best).reshape(80, 24, 2)[:, 4, 1])
     with pytest.raises(ValueError):
         training.fit_forecaster(df.limit(0), ["f0"], targets)
+
+
+def test_medians_of_ties_tails_and_extremes(spark):
+    rng = random.Random(9)
+    columns = {
+        "ties": [float(rng.randrange(3)) for _ in range(501)], "even": [1.0, 2.0] * 250 + [None], "one": [7.5] * 501,
+        "tail": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(501)], "none": [None] * 501,
+        "close": [1.0 + k * 2 ** -52 for k in range(500)] + [1e18], "huge": [-1.7e308, 1.7e308] * 250 + [float("inf")],
+        "mixed": [None if k % 7 == 0 else float("nan") if k % 7 == 1 else rng.gauss(0, 1) for k in range(501)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    for bins in (32, 512):
+        got = scaling.exact_medians(df, list(columns), bins)
+        for c, values in columns.items():
+            known = [v for v in values if v is not None and np.isfinite(v)]
+            assert got[c] == (float(np.median(known)) if known else None), c
