@@ -19,8 +19,8 @@ from isobar.llm.common import extended, query, table, written
 # Bounds of the training sample: distinct labelled texts, pieces of each, and characters of a piece.
 SAMPLE_DOCS, PIECES, PIECE_CHARS = 500, 2, 140
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 12, 10, 64, 0.015, 7
-# Bytes of a segment, bytes of its neighbours on either side, and segments read side by side.
-SEGMENT, MARGIN, SIDE = 128, 16, 4096
+# Bytes of a segment, bytes of its neighbours on either side, segments read side by side, and rows whose texts are held at a time.
+SEGMENT, MARGIN, SIDE, ROWS = 128, 16, 4096, 1000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -227,14 +227,16 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            raw = [t.lower().encode("utf-8", "surrogatepass") if t and net.labels and LETTER.search(t) else None for t in batch.column(at).to_pylist()]
-            mean = mean_scores(net, [r for r in raw if r is not None])
-            p = np.exp(mean - mean.max(1, keepdims=True)) if len(mean) else mean
-            answers = iter(zip(p.argmax(1).tolist(), (p.max(1) / p.sum(1)).tolist())) if len(mean) else iter(())
-            out = [("und", 0.0) if r is None else next(answers) for r in raw]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k if isinstance(k, str) else net.labels[k] for k, _ in out], pa.string()),
-                                              pa.array([x for _, x in out], pa.float64())], names=[*names, "lang_pred", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                raw = [t.lower().encode("utf-8", "surrogatepass") if t and net.labels and LETTER.search(t) else None for t in batch.column(at).to_pylist()]
+                mean = mean_scores(net, [r for r in raw if r is not None])
+                p = np.exp(mean - mean.max(1, keepdims=True)) if len(mean) else mean
+                answers = iter(zip(p.argmax(1).tolist(), (p.max(1) / p.sum(1)).tolist())) if len(mean) else iter(())
+                out = [("und", 0.0) if r is None else next(answers) for r in raw]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k if isinstance(k, str) else net.labels[k] for k, _ in out], pa.string()),
+                                                  pa.array([x for _, x in out], pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
 
