@@ -26,7 +26,7 @@ from isobar.llm.links import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BINS, BAND_ROWS = 128, 4
 # Shingles of one part of a group, shingles compared at a time, distinct words remembered per task.
-PART_SHINGLES, AT_ONCE, KNOWN_WORDS = 2_000_000, 2_000_000, 500_000
+PART_SHINGLES, AT_ONCE, KNOWN_WORDS = 2_000_000, 2_000_000, 200_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
