@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def given_back(batches):
+    """The batches; what Arrow holds beyond them goes back to the system after each, so that a reused worker stays small."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A new schema with more columns at the end."""
     return T.StructType(schema.fields + T.StructType.fromDDL(ddl).fields)

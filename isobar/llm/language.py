@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import extended, query, table, written
+from isobar.llm.common import extended, given_back, query, table, written
 
 # Bounds of the training sample: distinct labelled texts, pieces of each, and characters of a piece.
 SAMPLE_DOCS, PIECES, PIECE_CHARS = 500, 2, 140
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     names, at = docs.columns, docs.columns.index(text)
 
     def run(batches):
-        for whole in batches:
+        for whole in given_back(batches):
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
                 raw = [t.lower().encode("utf-8", "surrogatepass") if t and net.labels and LETTER.search(t) else None for t in batch.column(at).to_pylist()]

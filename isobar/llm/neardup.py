@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import query, table, written
+from isobar.llm.common import given_back, query, table, written
 from isobar.llm.covertree import Forest
 from isobar.llm.links import components
 
@@ -133,7 +133,7 @@ def near_groups(keyed: DataFrame, shingle: int, percent: int, bins: int, band_ro
     """(_row, id, n, component, chosen) of rows with _row, id and _text, see near_duplicates."""
     def sketch(batches):
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in given_back(batches):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 n, one, two, bands = [], [], [], []

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import extended, query, table, written
+from isobar.llm.common import extended, given_back, query, table, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 35
@@ -116,7 +116,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, limit: int = BLOCK, rang
     def cut(batches):
         known: dict[str, int] = {}
         task, count, block = TaskContext.get().partitionId(), 0, Block()
-        for batch in batches:
+        for batch in given_back(batches):
             for row, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 h = window_hashes(word_hashes(WORD.findall(text), known), size) if text else ()
@@ -210,7 +210,7 @@ def removal_intervals(docs: DataFrame, size: int = WINDOW, text: str = "text", s
     names, at_text, at_spans = source.columns, source.columns.index(text), len(source.columns)
 
     def mark(batches):
-        for batch in batches:
+        for batch in given_back(batches):
             removed = [joined_spans(s) for s in batch.column(at_spans).to_pylist()]
             n_words = [len(WORD.findall(t or "")) for t in batch.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -228,7 +228,7 @@ def kept_words(rows: DataFrame, text: str = "text", out: str = "kept_text") -> D
     at_text, at_removed = names.index(text), names.index("removed")
 
     def run(batches):
-        for batch in batches:
+        for batch in given_back(batches):
             kept = []
             for t, removed in zip(batch.column(at_text).to_pylist(), batch.column(at_removed).to_pylist()):
                 w, left, end = WORD.findall(t or ""), [], 0
