@@ -2,12 +2,14 @@
 
 Texts are normalised and split into words; the symbols of all new words of a batch lie in one flat array. Each round
 finds the rank of every adjacent pair by binary search over the sorted pair keys and merges, in every word at once,
-its lowest-ranked pair from left to right. Each distinct word is encoded once per task.
+its lowest-ranked pair from left to right. A word of very many symbols would need a round over all of them per rank, so its
+pairs wait in a heap instead. Each distinct word is encoded once per task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 
@@ -23,6 +25,8 @@ from isobar.llm.common import extended, query, table
 WORDS_KEPT = 400_000
 # Longest word that is remembered; longer ones are encoded each time.
 LONGEST_KEPT = 64
+# Words of more characters are merged by a heap, in n log n.
+LONGEST_BATCHED = 1024
 
 
 def byte_letters() -> list[str]:
@@ -60,8 +64,51 @@ class Codec:
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         return self.word_pattern.findall(text)
 
+    def ranked(self, pair: np.ndarray) -> np.ndarray:
+        """Rank of each pair key by binary search; the number of merges where there is none."""
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], len(self.merged))
+
+    def merge_long(self, word: str) -> list[int]:
+        """Ids of one word: its lowest-ranked pair, the leftmost of equal ones, is merged until there is none."""
+        data = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
+        start = self.inner[data]
+        start[-1] = self.last[data[-1]]
+        ranks = self.ranked(start[:-1] * self.size + start[1:])
+        ids, n, none = start.tolist(), len(start), len(self.merged)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(int(ranks[i]), int(i), ids[i], ids[i + 1]) for i in np.flatnonzero(ranks < none)]
+        heapq.heapify(heap)
+        seen: dict[tuple[int, int], int] = {}
+
+        def push(i: int, j: int) -> None:
+            pair = ids[i], ids[j]
+            if pair not in seen:
+                seen[pair] = int(self.ranked(np.array([pair[0] * self.size + pair[1]]))[0])
+            if seen[pair] < none:
+                heapq.heappush(heap, (seen[pair], i, *pair))
+
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            # A merged-away symbol is -1; a pair that has changed since is out of date.
+            if ids[i] != left or j == n or ids[j] != right:
+                continue
+            ids[i], ids[j] = int(self.merged[rank]), -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                push(i, after[i])
+            if before[i] >= 0:
+                push(before[i], i)
+        return [x for x in ids if x >= 0]
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word."""
+        long = {k: self.merge_long(w) for k, w in enumerate(words) if len(w) > LONGEST_BATCHED}
+        if long:
+            rest = iter(self.merge([w for k, w in enumerate(words) if k not in long]) if len(long) < len(words) else [])
+            return [long[k] if k in long else next(rest) for k in range(len(words))]
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(b) for b in raw])
         data = np.frombuffer(b"".join(raw), np.uint8)
@@ -72,9 +119,7 @@ class Codec:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         none = len(self.merged)
         while len(ids):
-            pair = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == pair) & (word[:-1] == word[1:]), self.ranks[at], none)
+            rank = np.where(word[:-1] == word[1:], self.ranked(ids[:-1] * self.size + ids[1:]), none)
             best = np.full(len(words), none)
             np.minimum.at(best, word[:-1], rank)
             ready = best[word] == none

@@ -66,6 +66,29 @@ def test_bpe_equals_library():
         assert " ".join(coded[w][1] for w in ps) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_query_and_long_words_equal_library(spark):
+    import hashlib
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    random.seed(11)
+    codec = bpe.Codec(bpe.word_vocabulary())
+    words = ["".join(random.choice("etaoinshrdlu") for _ in range(n)) for n in (1024, 1025, 3000, 80_000)] + ["a" * 5001, "tion" * 2000, "é" * 1500]
+    start = time.perf_counter()
+    coded = codec.merge(words)
+    assert time.perf_counter() - start < 10
+    assert coded == [library.encode(w, add_special_tokens=False).ids for w in words]
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in entry.queries()["op7_bpe"](spark, DATA).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        plain = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest())
+
+
 def test_language_gradients_and_held_out_accuracy(spark):
     net = language.Network(["a", "b"])
     codes, mask = language.padded([b" ab ", b" c "])
