@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from isobar import constants as C
 from isobar.functions.timegrid import at
 from isobar.operators import align
-from workload.base import (CHUNK, SQL_GRID, cells, merged_cells, query, single, sources, sql_cells, sql_merged, sql_single, sql_sources,
-                           table)
+from workload.base import (CHUNK, SOURCE_EXPR, SQL_GRID, cells, merged_cells, query, single, sources, sql_cells, sql_merged, sql_single,
+                           sql_sources, table)
 
 START, END = "2024-01-10 00:00:00", "2024-01-12 12:00:00"
 REFERENCE = "2024-01-20 06:00:00"
@@ -151,24 +151,25 @@ def upsample_hourly(spark, sf):
     return singles(align.upsample(hourly, [C.TEMP, C.HUMIDITY], chunk=CHUNK), [C.TEMP, C.HUMIDITY])
 
 
-def sql_stack() -> str:
+OWN_VARIABLES = {s: list(exprs) for s, (_, exprs) in SOURCE_EXPR.items()}
+
+
+def sql_stack(head: str | None = None, variables: dict[str, list[str]] = OWN_VARIABLES, rows: str = "cells") -> str:
     """All sources on the common grid, columns {source}_{variable}, each interpolated up to four steps."""
-    from workload.base import SOURCE_EXPR
-    names = [f"{s}_{v}" for s, (_, exprs) in SOURCE_EXPR.items() for v in exprs]
-    cols = ", ".join(f"{s}.{v} AS {s}_{v}" for s, (_, exprs) in SOURCE_EXPR.items() for v in exprs)
-    joins = " ".join(f"LEFT JOIN {s} ON {s}.location_id = g.location_id AND {s}.ts = g.ts" for s in SOURCE_EXPR)
+    names = [f"{s}_{v}" for s, own in variables.items() for v in own]
+    cols = ", ".join(f"{s}.{v} AS {s}_{v}" for s, own in variables.items() for v in own)
+    joins = " ".join(f"LEFT JOIN {s} ON {s}.location_id = g.location_id AND {s}.ts = g.ts" for s in variables)
     has = ", ".join(f"bool_or({n} IS NOT NULL) AS has_{n}" for n in names)
-    return f"""{sql_sources()},
+    return f"""{head or sql_sources()},
 g AS (SELECT location_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS ts
-  FROM (SELECT location_id, min(ts) AS lo, max(ts) AS hi FROM cells GROUP BY 1)),
+  FROM (SELECT location_id, min(ts) AS lo, max(ts) AS hi FROM {rows} GROUP BY 1)),
 raw AS (SELECT g.location_id, g.ts, {cols} FROM g {joins}),
 flags AS (SELECT location_id AS flag_location, {has} FROM raw GROUP BY 1),
 {sql_interpolated('raw', names, 4)}"""
 
 
-def sql_choice(mode: str) -> str:
-    from workload.base import SOURCE_EXPR
-    names = [f"{s}_{v}" for s, (_, exprs) in SOURCE_EXPR.items() for v in exprs]
+def sql_choice(mode: str, variables: dict[str, list[str]] = OWN_VARIABLES) -> str:
+    names = [f"{s}_{v}" for s, own in variables.items() for v in own]
     out = []
     for t, cand in align.candidates(names).items():
         if mode == "row":
