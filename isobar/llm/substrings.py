@@ -21,7 +21,7 @@ from isobar.llm.common import extended, given_back, query, table, written
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 35
 # Windows of a block, bytes of text whose windows make one range of hashes, distinct words remembered per task.
-BLOCK, RANGE_BYTES, KNOWN_WORDS = 1 << 21, 16_000_000, 200_000
+BLOCK, RANGE_BYTES, KNOWN_WORDS = 1 << 20, 16_000_000, 200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
