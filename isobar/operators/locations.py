@@ -60,7 +60,8 @@ def clean_locations(raw: DataFrame, state_code: str = C.STATE_CODE, state_name:
     """Location table from a raw code table with text columns and ``row_seq``."""
     roles = resolve_roles([c for c in raw.columns if c != "row_seq"])
     if roles is None:
-        return raw.sparkSession.createDataFrame([], "location_id string, lat double, lon double, row_seq bigint")
+        return raw.filter("false").selectExpr(
+            "cast(NULL as string) AS location_id", "cast(NULL as double) AS lat", "cast(NULL as double) AS lon", "row_seq")
     named = raw.select(
         F.col(roles["state"]).cast("string").alias("state"),
         pad_code(F.col(roles["code"]).cast("string")).alias("location_id"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +66,13 @@ def read_precip_grid(spark: SparkSession, path: str) -> DataFrame:
 def read_postal_csv(spark: SparkSession, path: str) -> DataFrame:
     """Latin-1 file with a header; every column stays text so that leading zeros survive.
 
-    ``row_seq`` follows the order of rows in the file.
+    ``row_seq`` follows the order of files by path, and of rows in a file, however Spark packs and cuts the files: a row's
+    file and block come from the scan, and inside a block ids ascend.
     """
     df = spark.read.option("encoding", "ISO-8859-1").option("header", True).csv(path)
-    return df.withColumn("row_seq", F.monotonically_increasing_id())
+    return df.withColumn("row_seq", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
 
 
 def parse_payloads(df: DataFrame, text: str = "payload") -> DataFrame:
@@ -94,33 +100,68 @@ def read_last(df: DataFrame, reference: Column, hours: float = 24, days: float =
     return recent(df, reference, hours + 24 * days, ts=ts)
 
 
-def write_series(df: DataFrame, path: str, source: str, start: str) -> None:
-    """Keep a collected series, keyed by source, start and location; a repeated write replaces those locations.
+def write_series(df: DataFrame, path: str, source: str, start: str, buckets: int = 64) -> None:
+    """Keep a collected series of many locations; a later write replaces the locations it holds.
 
-    Rows are spread by location and day, so one long series does not end up in one writer task.
+    Each write is a save of its own: rows by month and by hash of the location, so the number of files follows months and
+    buckets, not locations, and adaptive execution splits a crowded bucket. The save's list of locations is written after
+    its rows, and its ``_SUCCESS`` file commits the save: what a lost writer leaves behind is never read.
     """
-    out = df.withColumns({"source": F.lit(source), "start": F.lit(start)})
-    (
-        out.repartition("location_id", F.to_date("ts"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("source", "start", "location_id").parquet(path)
-    )
+    save = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows, places = (f"{path}/{part}/{_saves(source, start)}/save={save}" for part in ("rows", "places"))
+    out = df.withColumns({"month": F.date_format("ts", "yyyy-MM"), "bucket": _bucket(F.col("location_id"), buckets)})
+    out.hint("rebalance", F.col("month"), F.col("bucket")).write.partitionBy("month", "bucket").parquet(rows)
+    held = df.sparkSession.read.schema("location_id string").parquet(rows).distinct()
+    held.withColumn("buckets", F.lit(buckets)).write.parquet(places)
 
 
 def read_series(spark: SparkSession, path: str, schema: str, source: str, start: str,
-                locations: Sequence[str] | None = None) -> DataFrame:
-    """Kept series of a source; no rows when nothing was kept."""
-    keyed = T.StructType([*T.StructType.fromDDL(schema).fields, *T.StructType.fromDDL(
-        "source string, start string, location_id string").fields])
-    if not _exists(spark, path):
-        return spark.createDataFrame([], keyed)
-    kept = spark.read.schema(keyed).parquet(path).filter((F.col("source") == source) & (F.col("start") == start))
-    return kept if locations is None else kept.filter(F.col("location_id").isin(list(locations)))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+                locations: Sequence[str] | None = None, months: tuple[str, str] | None = None) -> DataFrame:
+    """Kept series of a source, each location from the newest save that holds it; no rows when nothing was kept.
+
+    ``locations`` and the first and last of ``months`` (as ``2024-01``) leave out whole buckets and months before any file is read.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    shown = [f.name for f in fields] + ["source", "start", "location_id"]
+    keyed = T.StructType([*fields, *T.StructType.fromDDL("location_id string, month string, bucket int, save string").fields])
+    under = _saves(source, start)
+    saves = _committed(spark, f"{path}/places/{under}")
+    if not saves:
+        return _labelled(spark.createDataFrame([], keyed), source, start).select(*shown)
+
+    def part(name: str, schema_: T.StructType | str) -> DataFrame:
+        found = [f"{path}/{name}/{under}/{save}" for save in saves]
+        return spark.read.schema(schema_).option("basePath", f"{path}/{name}/{under}").parquet(*found)
+
+    kept, places = part("rows", keyed), part("places", "location_id string, buckets int, save string")
+    if locations is not None:
+        sizes = [r.buckets for r in places.select("buckets").distinct().collect()]
+        wanted = [_bucket(F.lit(x), n) for x in locations for n in sizes]
+        kept = kept.filter(F.col("bucket").isin(wanted) & F.col("location_id").isin(list(locations)))
+    if months is not None:
+        kept = kept.filter(F.col("month").between(*months))
+    if len(saves) > 1:
+        kept = kept.join(places.groupBy("location_id").agg(F.max("save").alias("save")), ["location_id", "save"], "left_semi")
+    return _labelled(kept, source, start).select(*shown)
+
+
+def _saves(source: str, start: str) -> str:
+    return f"source={quote(source, safe='')}/start={quote(start, safe='')}"
+
+
+def _bucket(location: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(location), F.lit(buckets)).cast("int")
+
+
+def _labelled(df: DataFrame, source: str, start: str) -> DataFrame:
+    return df.withColumns({"source": F.lit(source), "start": F.lit(start)})
+
+
+def _committed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the saves whose list of locations is complete, oldest first."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/save=*/_SUCCESS")
+    found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
+    return sorted(f.getPath().getParent().getName() for f in found or [])
 
 
 def write_locations(df: DataFrame, path: str) -> None:

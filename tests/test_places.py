@@ -40,6 +40,26 @@ def test_clean_codes(spark, tmp_path):
     assert none.count() == 34
 
 
+def test_last_entry_over_cut_and_packed_files(spark, tmp_path):
+    """Files are cut into blocks and packed by size; the last row in path and line order still counts."""
+    sizes = [3, 400, 1, 90]
+    for i, n in enumerate(sizes):
+        lines = [f"08,{k % 7},28.{i}{k:04d},-106.5" for k in range(n)]
+        (tmp_path / f"part-{i}.csv").write_text("c_estado,d_cp,latitud,longitud\n" + "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        raw = tables.read_postal_csv(spark, str(tmp_path))
+        got = {r.location_id: r.lat for r in locations.clean_locations(raw).collect()}
+        parts = raw.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    want = {f"{k % 7:05d}": float(f"28.{i}{k:04d}") for i, n in enumerate(sizes) for k in range(n)}
+    assert parts > 4 and got == want
+
+
 def test_lookup_kinds(spark):
     asked = spark.createDataFrame([("31000",), ("31999",), ("99999",), ("5",)], "code string")
     got = {r.code: (r.match_kind, r.lat) for r in locations.lookup(asked, locations.city_locations(spark)).collect()}
