@@ -23,8 +23,8 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 # Moving statistics up to this length are worked out from the single earlier values, all in one
-# generated projection; longer ones use window frames.
-UNROLLED = 48
+# generated projection; longer ones from running aggregates of blocks, at a cost that does not grow with the length.
+SHORT = 12
 
 
 class History:
@@ -36,6 +36,8 @@ class History:
     def __init__(self):
         self.columns: dict[str, tuple[str, int | None]] = {}
         self.sums: dict[str, str] = {}
+        # Per length, the running aggregates of each block of that many positions.
+        self.blocks: dict[int, dict[str, str]] = {}
 
     def total(self, v: str, n: int) -> str:
         """Sum of the last n values, empty until all are known; worked out once for all its users."""
@@ -51,11 +53,23 @@ class History:
         self.columns[name] = (f"lag({v}, {k})", None)
         return name
 
-    def framed(self, v: str, agg: str, n: int) -> str:
-        """An aggregate of the last n rows."""
+    def running(self, v: str, agg: str, n: int) -> tuple[str, str]:
+        """An aggregate from the start of the row's block of n positions to the row, and one from the
+        window's first row to the end of the block before: together they are the last n rows."""
         name = f"_{v}_{agg}_{n}"
-        self.columns[name] = (f"{agg}({v})", n)
-        return name
+        self.blocks.setdefault(n, {})[name] = f"{agg}({v})"
+        self.columns[f"{name}_earlier"] = (f"lag({name}_tail, {n - 1})", None)
+        return f"{name}_head", f"{name}_earlier"
+
+    def block_columns(self, n: int, keys: Sequence[str], pos: str) -> list[str]:
+        """Running aggregates of the blocks of length n, forward and backward: each row is added once."""
+        block = f"PARTITION BY {', '.join(keys)}, {series.CHUNK_COL}, {series.sql_chunk(pos, n)} ORDER BY {pos}"
+        through = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+        return [f"{e} OVER ({block}{order} {through}) AS {name}_{side}"
+                for side, order in (("head", ""), ("tail", " DESC")) for name, e in self.blocks[n].items()]
+
+    def heads(self) -> list[str]:
+        return [f"{name}_head" for names in self.blocks.values() for name in names]
 
     def window_columns(self, keys: Sequence[str], pos: str) -> list[str]:
         over = f"PARTITION BY {', '.join(keys)}, {series.CHUNK_COL} ORDER BY {pos}"
@@ -65,13 +79,10 @@ class History:
         ]
 
 
-AGGREGATES = {"sum": "sum", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
-
-
 def _moving(h: History, v: str, n: int, what: str) -> str:
     """A statistic of the last n values; empty until all of them are known."""
-    if n > UNROLLED:
-        return f"CASE WHEN {h.framed(v, 'count', n)} = {n} THEN {h.framed(v, AGGREGATES[what], n)} END"
+    if n > SHORT:
+        return _moving_by_blocks(h, v, n, what)
     values = [h.back(v, k) for k in range(n)]
     total = h.total(v, n)
     if what == "sum":
@@ -87,6 +98,27 @@ def _moving(h: History, v: str, n: int, what: str) -> str:
     return f"CASE WHEN {total} IS NOT NULL THEN {extreme} END"
 
 
+def _moving_by_blocks(h: History, v: str, n: int, what: str) -> str:
+    """As ``_moving``: a window is the end of one block and the start of the next, or one whole block."""
+    whole = f"pmod(_pos + 1, {n}) = 0"
+    here, before = h.running(v, "count", n)
+
+    def joined(agg: str, both: str) -> str:
+        head, earlier = h.running(v, agg, n)
+        return f"IF({whole}, {head}, {both.format(a=earlier, b=head)})"
+
+    if what in ("sum", "mean"):
+        value = joined("sum", "{a} + {b}") + (f" / {n}" if what == "mean" else "")
+    elif what == "std":
+        mean, mean_before = h.running(v, "avg", n)
+        spread, spread_before = h.running(v, "var_pop", n)
+        apart = f"power({mean} - {mean_before}, 2) * {here} * {before} / {n}"
+        value = f"sqrt(IF({whole}, {spread} * {n}, {spread} * {here} + {spread_before} * {before} + {apart}) / {n - 1})"
+    else:
+        value = joined(what, f"{'least' if what == 'min' else 'greatest'}({{a}}, {{b}})")
+    return f"CASE WHEN IF({whole}, {here}, {before} + {here}) = {n} THEN {value} END"
+
+
 def lag_features(variables: Sequence[str], h: History, lags: Sequence[int] = C.LAGS) -> dict[str, str]:
     return {f"{v}_lag_{k}": h.back(v, k) for v in variables for k in lags}
 
@@ -154,9 +186,10 @@ def over_series(df: DataFrame, make, before: int, keys: Sequence[str] = KEYS, ts
         placed = series.row_positions(df, keys, [F.col(ts)], bucket, "_pos")
     history = History()
     added = make(history)
-    wide = series.with_halo(placed, keys, "_pos", before, chunk=chunk).selectExpr(
-        *names, "_pos", series.CHUNK_COL, *history.window_columns(keys, "_pos"),
-    )
+    wide = series.with_halo(placed, keys, "_pos", before, chunk=chunk)
+    for n in history.blocks:
+        wide = wide.selectExpr("*", *history.block_columns(n, keys, "_pos"))
+    wide = wide.selectExpr(*names, "_pos", series.CHUNK_COL, *history.heads(), *history.window_columns(keys, "_pos"))
     wide = series.drop_halo(wide, "_pos", chunk).selectExpr("*", *[f"{e} AS {n}" for n, e in history.sums.items()])
     shown = [F.expr(f"{e} AS {n}") if isinstance(e, str) else e.alias(n) for n, e in added.items()]
     return wide.select(*names, *shown)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from isobar import constants as C
-from isobar.operators import features
-from workload.base import CHUNK, digits, merged_cells, observed, query, single, sql_digits, sql_merged, sql_observed, sql_single
+from isobar.operators import align, features
+from pyspark.sql import functions as F
+from workload.base import CHUNK, SQL_GRID, digits, merged_cells, observed, query, single, sql_digits, sql_merged, sql_observed, sql_single
 
 LAYOUT = {"regular": True, "chunk": CHUNK}
 WATCHED = [C.TEMP, C.HUMIDITY]
@@ -82,6 +83,21 @@ def irregular_features(spark, sf):
     return shown(out, [c for c in out.columns if c.startswith("v_")])
 
 
+LONG = [48, 49, 960]
+SQL_LONG = {f"v_{a}_{n}": sql_full(f, "v", n) for n in LONG for a, f in (
+    ("rolling_mean", "avg"), ("rolling_std", "stddev_samp"), ("rolling_min", "min"), ("rolling_max", "max"), ("cumsum", "sum"))}
+
+
+@query(f"""WITH {sql_merged()}, {SQL_GRID}, s AS (SELECT g.location_id, g.ts, m.v FROM grid g LEFT JOIN merged m ON m.location_id = g.location_id AND m.ts = g.ts),
+w AS (SELECT location_id, ts, CASE WHEN hour(ts) <> 5 OR day(ts) % 12 <> 3 THEN last_value(v IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS v FROM s)
+SELECT location_id, ts, {sql_shown(SQL_LONG)} FROM w""")
+def long_windows(spark, sf):
+    """Windows of half a day, one row more, and ten days, longer than a chunk; an hour without values empties those that hold it."""
+    filled = align.regular_series(merged_cells(spark, sf).select("location_id", "ts", "v"), ["v"], limit=0, chunk=CHUNK)
+    gaps = filled.select("location_id", "ts", F.expr("CASE WHEN hour(ts) <> 5 OR day(ts) % 12 <> 3 THEN v END AS v"))
+    return shown(features.moving_features(gaps, ["v"], ["rolling", "cumulative"], windows=LONG, periods=LONG, **LAYOUT), list(SQL_LONG))
+
+
 @query(f"""WITH {sql_observed()} SELECT location_id, ts, {sql_shown({'pressure_change_3h': f"pressure_hpa - {sql_lag('pressure_hpa', 12)}"})} FROM observed""")
 def pressure_tendency(spark, sf):
     df = observed(spark, sf).select("location_id", "ts", C.PRESSURE)
