@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,20 +153,77 @@ def split_sizes(n: int, test: float = 0.15, val: float = 0.15) -> tuple[int, int
 
 
 def split_exact(df: DataFrame, unique: Sequence[str], test: float = 0.15, val: float = 0.15, seed: int = 42,
-                rank: Column | None = None, bucket: Column | None = None) -> DataFrame:
-    """Shuffled split with exact sizes, as column ``split``.
+                rank: Column | None = None) -> DataFrame:
+    """Shuffled split with exact sizes, as column ``split``: rows in order of a bigint ``rank`` (a seeded hash), then of ``unique``.
 
-    Rows are ranked by hash over the whole table through counts per hash bucket; ``bucket`` must not
-    decrease along ``rank``.
+    The two cutting ranks are found by refined histograms, so rows are only compared with them and stay where they are; none
+    but the rows at a cutting rank that several rows share are ordered. ``df`` is read once a round: give a table.
     """
-    if rank is None:
-        rank = _hash(seed, unique)
-        bucket = F.shiftright(rank, 50)
-    n = df.count()
-    _, n_val, n_test = split_sizes(n, test, val)
-    ranked = series.row_positions(df.withColumn("_all", F.lit(1)), ["_all"], [rank, *unique], bucket, "_rank").drop("_all")
-    part = F.when(F.col("_rank") < n_test, "test").when(F.col("_rank") < n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", part).drop("_rank")
+    rank = _hash(seed, unique) if rank is None else rank
+
+    def places(n: int) -> list[int]:
+        _, n_val, n_test = split_sizes(n, test, val)
+        return [n_test, n_test + n_val]
+
+    ranked = df.withColumn("_rank", rank)
+    cuts = cutting_ranks(ranked.select("_rank"), places)
+    shared = [cut for cut, before in cuts if before]
+    if shared:
+        at_cut = F.coalesce(F.col("_rank").isin(shared), F.lit(False))
+        tied = ranked.filter(at_cut).withColumn("_tie", F.row_number().over(Window.partitionBy("_rank").orderBy(*unique)))
+        ranked = ranked.filter(~at_cut).withColumn("_tie", F.lit(1)).unionByName(tied)
+
+    def before(cut: int | None, n: int) -> Column:
+        if cut is None:
+            return F.lit(True)
+        below = F.col("_rank") < cut
+        return below | ((F.col("_rank") == cut) & (F.col("_tie") <= n)) if n else below
+
+    first, second = (before(*cut) for cut in cuts)
+    part = F.when(first, "test").when(second, "val").otherwise("train")
+    return ranked.withColumn("split", part).drop("_rank", "_tie")
+
+
+# Bits of a rank that one round of histograms tells apart.
+ROUND_BITS = 12
+
+
+def cutting_ranks(ranks: DataFrame, places: Callable[[int], Sequence[int]]) -> list[tuple[int | None, int]]:
+    """For each place k, counted from 0, the rank found there in sorted order, and how many rows of that rank lie before it.
+
+    ``ranks`` has one bigint column without nulls; ``places`` gives the places from the number of rows. Each round is one job that
+    counts rows by the next bits of the rank, for all places at once, in the parts that hold a place: at most 4,096 counts a
+    place reach the driver. A place behind the last row has no rank (None).
+    """
+    rank = F.col(ranks.columns[0])
+    shift = 64 - ROUND_BITS
+    counts = _part_counts(ranks, rank, shift)
+    wanted = places(sum(n for _, n, _, _ in counts))
+    held = {k: _part_at(counts, 0, k) for k in wanted}
+    while open_parts := {part for _, part, lo, hi in held.values() if lo != hi}:
+        step = min(ROUND_BITS, shift)
+        ranks = ranks.filter(F.shiftright(rank, shift).isin(sorted(open_parts)))
+        shift -= step
+        counts = _part_counts(ranks, rank, shift)
+        for k, (before, part, lo, hi) in held.items():
+            if lo != hi:
+                held[k] = _part_at([c for c in counts if c[0] >> step == part], before, k)
+    return [(held[k][2], 0 if held[k][2] is None else k - held[k][0]) for k in wanted]
+
+
+def _part_counts(ranks: DataFrame, rank: Column, shift: int) -> list[tuple[int, int, int, int]]:
+    """(part, rows, smallest rank, largest rank) in order."""
+    parts = ranks.groupBy(F.shiftright(rank, shift).alias("part")).agg(F.count(F.lit(1)), F.min(rank), F.max(rank))
+    return sorted(map(tuple, parts.collect()))
+
+
+def _part_at(counts: Sequence[tuple[int, int, int, int]], before: int, k: int) -> tuple[int, int | None, int | None, int | None]:
+    """Rows before the part that holds place k, the part, and its smallest and largest rank."""
+    for part, n, lo, hi in counts:
+        if k < before + n:
+            return before, part, lo, hi
+        before += n
+    return before, None, None, None
 
 
 def split_hashed(df: DataFrame, unique: Sequence[str], test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:

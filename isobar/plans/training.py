@@ -36,12 +36,12 @@ def model_rows(unified: DataFrame, chunk: int = series.CHUNK, regular: bool = Tr
 
 def build_dataset(unified: DataFrame, per_location: int = 40, seed: int = 42, fit_scope: str = "train",
                   inputs: str = "window", exact_split: bool = True, chunk: int = series.CHUNK,
-                  rank: Column | None = None, bucket: Column | None = None) -> Dataset:
+                  rank: Column | None = None) -> Dataset:
     """Scaled, sampled and split windows of a unified regular series of many locations.
 
     With fit scope "train" the statistics come from all rows that no validation or test window holds;
     with "first_location" from all rows of the first location by name. ``rank`` replaces the seeded hash
-    by which origins are chosen and split, and ``bucket`` must not decrease along it.
+    by which origins are chosen and split; it is a bigint.
     """
     if fit_scope not in ("train", "first_location"):
         raise ValueError(f"fit_scope must be 'train' or 'first_location', not {fit_scope!r}")
@@ -50,7 +50,7 @@ def build_dataset(unified: DataFrame, per_location: int = 40, seed: int = 42, fi
     targets = [t for t in C.TARGETS if t in names]
 
     # The choice and the split depend on keys only, so origins are known before scaling.
-    origins = materialized(_split(_origins(unified, per_location, seed, chunk, rank), exact_split, seed, rank, bucket))
+    origins = materialized(_split(materialized(_origins(unified, per_location, seed, chunk, rank)), exact_split, seed, rank))
     if fit_scope == "train":
         fit_on = sequences.outside_windows(rows, origins.filter(F.col("split") != "train"))
     else:
@@ -71,10 +71,10 @@ def _origins(unified: DataFrame, per_location: int, seed: int, chunk: int, rank:
     return sequences.balance(usable.withColumnRenamed("ts", "origin_ts"), per_location, seed, rank=rank)
 
 
-def _split(samples: DataFrame, exact: bool, seed: int, rank: Column | None = None, bucket: Column | None = None) -> DataFrame:
+def _split(samples: DataFrame, exact: bool, seed: int, rank: Column | None = None) -> DataFrame:
     unique = [*IDS, "copy"]
     if exact:
-        return sequences.split_exact(samples, unique, seed=seed, rank=rank, bucket=bucket)
+        return sequences.split_exact(samples, unique, seed=seed, rank=rank)
     return sequences.split_hashed(samples, unique, seed=seed)
 
 
@@ -183,9 +183,9 @@ def _per_variable(values: Mapping[str, float]) -> Column:
 
 
 def train(spark: SparkSession, unified: DataFrame, path: str | None = None, per_location: int = 40, seed: int = 42,
-          chunk: int = series.CHUNK, rank: Column | None = None, bucket: Column | None = None) -> tuple[Forecaster, Dataset, dict[str, DataFrame]]:
+          chunk: int = series.CHUNK, rank: Column | None = None) -> tuple[Forecaster, Dataset, dict[str, DataFrame]]:
     """Prepare, fit, evaluate, and keep the model with its statistics under ``path``."""
-    dataset = build_dataset(materialized(unified), per_location, seed, inputs="last", chunk=chunk, rank=rank, bucket=bucket)
+    dataset = build_dataset(materialized(unified), per_location, seed, inputs="last", chunk=chunk, rank=rank)
     dataset.samples = materialized(dataset.samples)
     model = fit_forecaster(dataset.samples.filter(F.col("split") == "train"), dataset.features, dataset.targets)
     scores = evaluate(model, dataset)

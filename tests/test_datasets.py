@@ -1,7 +1,9 @@
 """Scaling, windows, samples, splits, scores, forecasts and rain estimates."""
 
+import datetime as dt
 import json
 import random
+import re
 import statistics
 
 import pytest
@@ -108,6 +110,24 @@ def test_split_sizes(spark):
     assert sum(share.values()) == 1000 and 600 < share["train"] < 800
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 13, 997])
+def test_split_exact_with_equal_ranks(spark, n):
+    """Sizes are exact and rows of equal rank go by their keys; only compared, never sent anywhere, when ranks differ."""
+    df = spark.createDataFrame([(i,) for i in range(n)], "k bigint")
+    n_train, n_val, n_test = sequences.split_sizes(n)
+    for size in (1, 5, 10**9):
+        near = F.pmod(F.col("k") * 7919, F.lit(size)) - 3
+        for rank in (near, near * (1 << 33)):
+            out = sequences.split_exact(df, ["k"], rank=rank)
+            key = [(i * 7919 % size, i) for i in range(n)]
+            place = {i: p for p, (_, i) in enumerate(sorted(key))}
+            want = {i: "test" if p < n_test else "val" if p < n_test + n_val else "train" for i, p in place.items()}
+            assert {r.k: r.split for r in out.collect()} == want
+    if n == 997:
+        plan = sequences.split_exact(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_metrics(spark):
     rows = [("temp_celsius", 1.0, 2.0), ("temp_celsius", 3.0, 4.0), ("temp_celsius", None, 4.0), ("precipitation_mm", 1.0, 1.0), ("precipitation_mm", 1.0, 1.0)]
     df = spark.createDataFrame(rows, "variable string, prediction double, target double")
@@ -160,10 +180,30 @@ def test_series_store(spark, tmp_path):
     back = tables.read_series(spark, path, cols, "stations", "2024-01-01")
     assert {r.location_id: r["count"] for r in back.groupBy("location_id").count().collect()} == {"a": 5, "b": 30}
     one = tables.read_series(spark, path, cols, "stations", "2024-01-01", ["b"])
-    assert one.count() == 30 and "PartitionFilters: [isnotnull" in one._jdf.queryExecution().executedPlan().toString()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 30 and re.search(r"PartitionFilters: \[[^]]*\(bucket#\d+ = \d+\)", plan)
     assert tables.read_series(spark, path, cols, "reanalysis", "2024-01-01").count() == 0
 
 
+def test_series_store_layout(spark, tmp_path):
+    """Files follow months and buckets; months are pruned; a save without its marker is not read."""
+    path, cols = str(tmp_path / "kept"), "ts timestamp_ntz, v double"
+    hours = F.explode(F.expr("sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-03-31 23:00:00', interval 1 hour)"))
+    df = spark.range(40).select(F.col("id").cast("string").alias("location_id"), hours.alias("ts"), F.lit(1.0).alias("v"))
+    tables.write_series(df, path, "grid", "2024", buckets=4)
+    assert len(list((tmp_path / "kept").rglob("rows/**/*.parquet"))) == 3 * 4
+    march = tables.read_series(spark, path, cols, "grid", "2024", months=("2024-03", "2024-12"))
+    assert march.agg(F.min("ts"), F.count("*")).first() == (dt.datetime(2024, 3, 1), 40 * 31 * 24)
+    assert re.search(r"PartitionFilters: \[[^]]*month#\d+ >= 2024-03", march._jdf.queryExecution().executedPlan().toString())
+    tables.write_series(df.limit(0), path, "grid", "2024", buckets=4)
+    tables.write_series(df.filter("location_id = '7'").limit(3), path, "grid", "2024", buckets=2)
+    again = tables.read_series(spark, path, cols, "grid", "2024", ["7", "8", "none"])
+    assert {r.location_id: r["count"] for r in again.groupBy("location_id").count().collect()} == {"7": 3, "8": 91 * 24}
+    newest = max((tmp_path / "kept" / "places" / "source=grid" / "start=2024").iterdir())
+    (newest / "_SUCCESS").rename(newest / "_STARTED")
+    assert tables.read_series(spark, path, cols, "grid", "2024", ["7"]).count() == 91 * 24
+
+
 def test_stored_tables(spark, tmp_path):
     stats = scaling.fit_scaler(series(spark, 10))
     tables.write_dataset_info(spark, str(tmp_path / "info"), ["x", "y"], ["x"], 24, 12, stats)

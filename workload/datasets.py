@@ -121,7 +121,7 @@ q AS (SELECT *, n_test + ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (n - n_test))
 SELECT location_id, ts, CASE WHEN i < n_test THEN 'test' WHEN i < upto THEN 'val' ELSE 'train' END AS split FROM q""")
 def split_exact(spark, sf):
     m = merged_cells(spark, sf, 15, "user_id").select("location_id", "ts")
-    return sequences.split_exact(m, ["location_id", "ts"], rank=rank(), bucket=F.substring(rank(), 1, 2))
+    return sequences.split_exact(m, ["location_id", "ts"], rank=F.conv(F.substring(rank(), 1, 15), 16, 10).cast("long"))
 
 
 @query(f"""WITH {sql_observed()}, i AS (SELECT *, row_number() {W} AS i, count(*) OVER (PARTITION BY location_id) AS n FROM observed),

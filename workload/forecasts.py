@@ -167,7 +167,7 @@ fitting AS (SELECT p.* FROM placed p ANTI JOIN held_out USING (location_id, i)),
 @query(sql_training_dataset())
 def training_dataset(spark, sf):
     """Sizes, and means and deviations of all scaled inputs and targets, of each split."""
-    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
+    data = training.build_dataset(materialized(observed(spark, sf)), chunk=CHUNK, rank=origin_rank())
     out = sequences.dataset_statistics(materialized(data.samples))
     return out.withColumns({c: digits(c, 4) for c in ("X_mean", "X_std", "y_mean", "y_std")})
 
@@ -242,13 +242,14 @@ UNION ALL SELECT 'weighted loss', NULL, {sql_digits(f'avg({weight} * pow(predict
 
 
 def origin_rank():
-    return F.md5(F.concat_ws("|", F.lit("42"), "location_id", F.expr(f"cast({sql_seconds('origin_ts')} as string)")))
+    digest = F.md5(F.concat_ws("|", F.lit("42"), "location_id", F.expr(f"cast({sql_seconds('origin_ts')} as string)")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 @query(sql_forecaster())
 def forecaster_scores(spark, sf):
     """Fit on all locations, scores per variable on held-out windows."""
-    _, _, scores = training.train(spark, observed(spark, sf), chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
+    _, _, scores = training.train(spark, observed(spark, sf), chunk=CHUNK, rank=origin_rank())
     loss = scores["loss"].select(F.lit("weighted loss").alias("variable"), F.col("weighted_mse").alias("mse"))
     out = scores["per_variable"].unionByName(loss, allowMissingColumns=True)
     return out.select("variable", "n", digits("mse", 4).alias("mse"), *[digits(c, 5).alias(c) for c in ("rmse", "mae", "r2")])
@@ -276,7 +277,7 @@ FROM asked LEFT JOIN formatted f ON f.location_id = code"""
 def forecast_for_codes(spark, sf):
     """Forecasts for every kind of event as location, for codes known by their prefix, and error rows for all others."""
     o = materialized(observed(spark, sf))
-    model, data, _ = training.train(spark, o, chunk=CHUNK, rank=origin_rank(), bucket=F.substring(origin_rank(), 1, 2))
+    model, data, _ = training.train(spark, o, chunk=CHUNK, rank=origin_rank())
     kinds = o.select("location_id").distinct().withColumn("_k", F.ascii("location_id"))
     known = kinds.select("location_id", *[e.alias(n) for n, e in place("_k").items()])
     asked = kinds.select(F.col("location_id").alias("code")).unionByName(
