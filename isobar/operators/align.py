@@ -105,17 +105,18 @@ def _sql_grid_time(step: int) -> str:
 
 
 def upsample(df: DataFrame, values: Sequence[str], limits: Mapping | None = None, keys: Sequence[str] = KEYS,
-             ts: str = "ts", step: int = C.STEP_SECONDS, chunk: int = series.CHUNK) -> DataFrame:
-    """Bring a coarser series to the grid by linear interpolation of any gap, then clip to physical limits.
+             ts: str = "ts", step: int = C.STEP_SECONDS, chunk: int = series.CHUNK, source: str = "stations") -> DataFrame:
+    """Bring a coarser series to the grid by linear interpolation of any gap, then clip to the physical limits of its source.
 
-    The grid is anchored at midnight; timestamps off it are ignored.
+    Satellite rain has no upper limit. The grid is anchored at midnight; timestamps off it are ignored.
     """
     bounds = _bounds(extents([df], keys, ts).withColumn("end_ts", floor_to("end_ts", step)), keys, step, "midnight")
     around = _on_spine(on_grid(df, bounds, values, keys, ts, step), values, keys, chunk)
     filled = around.selectExpr(
         *keys, f"{_sql_grid_time(step)} AS {ts}", *[f"{series.sql_interpolated(v, '_tick')} AS {v}" for v in values],
     )
-    return clip_columns(filled, C.LIMITS if limits is None else limits)
+    known = C.SATELLITE_LIMITS if source == "satellite" else C.LIMITS
+    return clip_columns(filled, known if limits is None else limits)
 
 
 def interpolate(df: DataFrame, values: Sequence[str], limit: int | None = 4, keys: Sequence[str] = KEYS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from isobar import constants as C
 from isobar.functions.physics import great_circle_km
+from isobar.operators import series
 
 ROLES = {
     "state": ("estado",),
@@ -149,6 +150,16 @@ def within_radius(centers: DataFrame, points: DataFrame, radius_km: float, cente
     )
 
 
+def ranked_by_distance(pairs: DataFrame, ring_km: float, center_id: str = "center_id", point_id: str = "location_id") -> DataFrame:
+    """Pairs of a radius search with ``rank``, from 1 at the nearest point of each center; equally far points go by id.
+
+    Ranks come from the counts of rings of the given width, so a center with very many points is numbered ring by ring.
+    """
+    ring = F.floor(F.col("distance_km") / ring_km)
+    placed = series.row_positions(pairs, [center_id], [F.col("distance_km"), F.col(point_id)], ring, "rank")
+    return placed.withColumn("rank", F.col("rank") + 1)
+
+
 def _row_height(radius_km: float) -> float:
     return max(math.degrees(radius_km / C.EARTH_RADIUS_KM) * 1.000001, 1e-6)
 
@@ -191,10 +202,16 @@ def _cells_around(lat: Column, lon: Column, radius_km: float) -> Column:
 
 
 def listing(locations: DataFrame, limit: int | None = None) -> DataFrame:
-    """Locations in order of entry, with their number; optionally only the first ones."""
+    """Locations in order of entry, with their number from 1; optionally only the first ones.
+
+    The whole list is numbered through counts per file block of ``row_seq``, or per stretch of numbers.
+    """
     rows = locations.orderBy("row_seq")
     if limit is None:
-        return rows
+        number = locations.schema["row_seq"].dataType.typeName() != "struct"
+        bucket = series.chunk_of("row_seq", series.CHUNK) if number else F.struct("row_seq.file", "row_seq.block")
+        placed = series.row_positions(locations.withColumn("_all", F.lit(1)), ["_all"], [F.col("row_seq")], bucket, "number")
+        return placed.drop("_all").withColumn("number", F.col("number") + 1).orderBy("row_seq")
     # A report of the first few: at most ``limit`` rows reach the numbering.
     return rows.limit(limit).withColumn("number", F.row_number().over(Window.orderBy("row_seq")))
 

@@ -1,4 +1,4 @@
-"""Scores of predictions against truth. Frames are long: one row per sequence, step and variable."""
+"""Scores of predictions against truth. Pairs are long: one row per sequence, step and variable."""
 
 from __future__ import annotations
 
@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from isobar import constants as C
 
-IDS = ["location_id", "origin_ts", "horizon", "variable"]
+STEP = ["location_id", "origin_ts", "horizon"]
+IDS = [*STEP, "variable"]
 
 
-def pair(predictions: DataFrame, truth: DataFrame, ids: Sequence[str] = IDS) -> DataFrame:
-    """Rows that both sides have."""
-    return predictions.join(truth, list(ids))
+def pair(predictions: DataFrame, truth: DataFrame, variables: Sequence[str] = C.TARGETS, ids: Sequence[str] = STEP) -> DataFrame:
+    """``variable``, ``prediction`` and ``target`` of the steps that both sides have.
+
+    Both sides have one row per step with a column per variable; the wide rows are joined, and only then turned into one
+    row per variable, so the shuffle carries each step once.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*ids, F.struct(*[F.col(v).cast("double").alias(v) for v in variables]).alias(name))
+
+    both = side(predictions, "_p").join(side(truth, "_t"), list(ids))
+    values = [F.struct(F.lit(v).alias("variable"), F.col("_p")[v].alias("prediction"), F.col("_t")[v].alias("target")) for v in variables]
+    return both.select(*ids, F.inline(F.array(*values)))
 
 
 def _weight(variable: Column, weights: Mapping[str, float]) -> Column:

@@ -151,6 +151,28 @@ def upsample_hourly(spark, sf):
     return singles(align.upsample(hourly, [C.TEMP, C.HUMIDITY], chunk=CHUNK), [C.TEMP, C.HUMIDITY])
 
 
+RAIN, SPEED, CLOUD_SHARE = "v * 15 - 100", "k * 2 - 40", "v * 3 - 30"
+LIMITED = {C.PRECIP: "precipitation_mm", C.WIND_SPEED: "wind_speed_ms", C.CLOUD: "cloud_cover_percent"}
+
+
+@query(f"""WITH {sql_merged(60)},
+hourly AS (SELECT location_id, ts, {RAIN} AS precipitation_mm, {SPEED} AS wind_speed_ms, {CLOUD_SHARE} AS cloud_cover_percent FROM merged),
+g AS (SELECT location_id, unnest(generate_series(lo, hi, INTERVAL 15 MINUTE)) AS ts FROM (SELECT location_id, min(ts) AS lo, max(ts) AS hi FROM hourly GROUP BY 1)),
+raw AS (SELECT g.location_id, g.ts, {', '.join(f'h.{v}' for v in LIMITED.values())} FROM g LEFT JOIN hourly h ON h.location_id = g.location_id AND h.ts = g.ts),
+{sql_interpolated('raw', list(LIMITED.values()), None)}
+SELECT 'stations' AS source, location_id, ts, {sql_single('least(greatest(precipitation_mm, 0), 500)')} AS precipitation_mm,
+  {sql_single('least(greatest(wind_speed_ms, 0), 100)')} AS wind_speed_ms, {sql_single('least(greatest(cloud_cover_percent, 0), 100)')} AS cloud_cover_percent FROM interp
+UNION ALL SELECT 'satellite', location_id, ts, {sql_single('greatest(precipitation_mm, 0)')}, NULL, NULL FROM interp""")
+def upsample_limits(spark, sf):
+    """Rain above 500 mm is cut for stations and kept for satellites."""
+    m = merged_cells(spark, sf, 60)
+    hourly = m.select("location_id", "ts", F.expr(RAIN).alias(C.PRECIP), F.expr(SPEED).alias(C.WIND_SPEED), F.expr(CLOUD_SHARE).alias(C.CLOUD))
+    station = align.upsample(hourly, list(LIMITED), chunk=CHUNK).select(F.lit("stations").alias("source"), "location_id", "ts", *[single(v).alias(v) for v in LIMITED])
+    satellite = align.upsample(hourly, [C.PRECIP], chunk=CHUNK, source="satellite")
+    return station.unionByName(
+        satellite.select(F.lit("satellite").alias("source"), "location_id", "ts", single(C.PRECIP).alias(C.PRECIP)), allowMissingColumns=True)
+
+
 OWN_VARIABLES = {s: list(exprs) for s, (_, exprs) in SOURCE_EXPR.items()}
 
 
@@ -228,7 +250,7 @@ def fallback_series(spark, sf):
 @query(f"""WITH {sql_cells()} SELECT location_id, ts, part, v FROM cells""")
 def stack_frames(spark, sf):
     c = cells(spark, sf).select("ts", "part", "v", "location_id")
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    kinds = [r.location_id for r in c.select("location_id").distinct().collect()]
     return align.stack_locations({k: c.filter(F.col("location_id") == k).drop("location_id") for k in kinds})
 
 

@@ -76,6 +76,23 @@ def supervised_windows(spark, sf):
         F.size("X").alias("n_in"), F.size("y").alias("n_out"), F.size(F.col("X")[0]).alias("n_features"), F.size(F.col("y")[0]).alias("n_targets"))
 
 
+SQL_STACKED = f"""w AS (SELECT location_id, ts AS origin_ts, 'types' AS collection, lag(ts, 23) {W} AS back, lead(ts, 24) {W} AS ahead, {sql_single('temp_celsius')} AS now,
+  {sql_single(f'lead(temp_celsius, 24) {W}')} AS last_out FROM observed), n AS (SELECT location_id, ts, 'users' AS collection, lag(ts, 23) {W} AS back, lead(ts, 24) {W} AS ahead,
+  {sql_single('v')} AS now, {sql_single(f'lead(v, 24) {W}')} AS last_out FROM users)"""
+
+
+@query(f"""WITH {sql_observed()}, {sql_merged(15, 'user_id').replace("merged AS", "users AS", 1)}, {SQL_STACKED}
+SELECT collection, location_id, origin_ts, now, last_out FROM (SELECT * FROM w UNION ALL SELECT * FROM n) WHERE back IS NOT NULL AND ahead IS NOT NULL""")
+def stacked_samples(spark, sf):
+    """Windows of regular and of irregular series as one set of samples."""
+    o = observed(spark, sf).select("location_id", "ts", F.col(C.TEMP).alias("v"))
+    u = merged_cells(spark, sf, 15, "user_id").select("ts", "v", "location_id")
+    regular = sequences.windows(o, ["v"], ["v"], regular=True, chunk=CHUNK).withColumn("collection", F.lit("types"))
+    irregular = sequences.windows(u, ["v"], ["v"], chunk=32, bucket_seconds=5 * 86400).withColumn("collection", F.lit("users"))
+    s = sequences.stack_samples([regular, irregular])
+    return s.select("collection", "location_id", "origin_ts", F.expr("cast(X[23][0] as double)").alias("now"), F.expr("cast(y[23][0] as double)").alias("last_out"))
+
+
 @query(f"""WITH {sql_merged(15, 'user_id')}, n AS (SELECT location_id, ts, v, row_number() {W} AS i, count(*) OVER (PARTITION BY location_id) AS n FROM merged)
 SELECT a.location_id, a.ts AS origin_ts, CAST(b.i - a.i AS INTEGER) AS horizon, {sql_single('b.v')} AS target_v
 FROM n a JOIN n b ON a.location_id = b.location_id AND b.i BETWEEN a.i + 1 AND a.i + 12 WHERE a.i >= 24 AND a.i + 12 <= a.n""")
@@ -140,19 +157,15 @@ def dataset_statistics(spark, sf):
     return out.withColumns({c: digits(c, 4) for c in ("X_mean", "X_std", "y_mean", "y_std")})
 
 
-SQL_LONG = ", ".join(f"('{t}', {t})" for t in C.TARGETS)
-SQL_PAIRS = f"""long AS (SELECT location_id, ts, u.variable, u.x FROM observed, LATERAL (VALUES {SQL_LONG}) u(variable, x)),
-pairs AS (SELECT p.location_id, p.ts AS origin_ts, 24 AS horizon, p.variable, p.x AS prediction, t.x AS target
-  FROM long p JOIN long t ON t.location_id = p.location_id AND t.variable = p.variable AND t.ts = p.ts + INTERVAL 6 HOUR)"""
+SQL_PAIRS = f"""pairs AS (SELECT p.location_id, p.ts AS origin_ts, 24 AS horizon, unnest({C.TARGETS}) AS variable,
+  unnest([{', '.join(f'p.{t}' for t in C.TARGETS)}]) AS prediction, unnest([{', '.join(f't.{t}' for t in C.TARGETS)}]) AS target
+  FROM observed p JOIN observed t ON t.location_id = p.location_id AND t.ts = p.ts + INTERVAL 6 HOUR)"""
 
 
 def persistence(spark, sf):
-    """The value at the origin as prediction for six hours later, and what was then observed."""
-    o = observed(spark, sf)
-    ids = ["location_id", "origin_ts", "horizon"]
-    later = o.withColumn("origin_ts", F.expr("ts - INTERVAL 6 HOURS")).withColumn("horizon", F.lit(24))
-    now = o.withColumnRenamed("ts", "origin_ts").withColumn("horizon", F.lit(24))
-    return (sequences.unpivot_targets(now, "", "prediction", ids=ids), sequences.unpivot_targets(later, "", "target", ids=ids))
+    """The values at the origin as predictions for six hours later, and what was then observed."""
+    o = observed(spark, sf).withColumn("horizon", F.lit(24))
+    return o.withColumnRenamed("ts", "origin_ts"), o.withColumn("origin_ts", F.expr("ts - INTERVAL 6 HOURS"))
 
 
 @query(f"""WITH {sql_observed()}, {SQL_PAIRS} SELECT location_id, origin_ts, horizon, variable, {sql_single('prediction')} AS prediction,

@@ -115,6 +115,13 @@ def radius_search(spark, sf):
     return pairs.select("center_id", "location_id", digits("distance_km").alias("distance_km"))
 
 
+@query(f"""WITH {SQL_PLACES}, d AS (SELECT s.station_id AS center_id, c.location_id, {sql_km('s.lat', 's.lon', 'c.lat', 'c.lon')} AS km FROM s, c),
+r AS (SELECT center_id, location_id, {sql_digits('km')} AS distance_km FROM d WHERE km <= 60)
+SELECT *, row_number() OVER (PARTITION BY center_id ORDER BY distance_km, location_id) AS rank FROM r""")
+def radius_search_ranked(spark, sf):
+    return locations.ranked_by_distance(radius_search(spark, sf), 5.0).orderBy("center_id", "rank")
+
+
 @query(f"""WITH {SQL_PLACES}, p AS (SELECT c.location_id, s.station_id, {sql_km('c.lat', 'c.lon', 's.lat', 's.lon')} AS km FROM c, s),
 r AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY km, station_id) AS rank FROM p WHERE km <= 100)
 SELECT location_id, station_id, {sql_digits('km')} AS distance_km, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
@@ -131,6 +138,13 @@ def location_listing(spark, sf):
     return locations.listing(c, 10)
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS location_id, row_number() OVER (ORDER BY c_custkey DESC) AS number FROM customer")
+def locations_numbered(spark, sf):
+    """The whole list, entered in falling order of keys."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("location_id"), (-1000 * F.col("c_custkey")).alias("row_seq"))
+    return locations.listing(c).select("location_id", "number")
+
+
 @query("SELECT count(*) AS n_locations, greatest(count(*) - 10, 0) AS n_more FROM customer")
 def locations_left_out(spark, sf):
     return locations.remaining(table(spark, sf, "customer"), 10)
