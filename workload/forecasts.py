@@ -9,7 +9,6 @@ from isobar.operators import present, rain, sequences
 from isobar.plans import forecasting, training
 from isobar.plans.stage import materialized
 from isobar.sources.tables import parse_payloads
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from workload.base import CHUNK, digits, observed, place, query, sql_digits, sql_km, sql_observed, sql_place, table
 from workload.datasets import sql_stats
@@ -72,22 +71,25 @@ def first_forecast_steps(spark, sf):
     ).select("location_id", "origin_ts", "lat", "lon", "n_steps", "time_step", "s.time", "s.desc", F.col("s.timestamp").alias("at_text"))
 
 
-# Provider payloads: the newest event of a user as current conditions, the first 30 events as hours.
+# Provider payloads: a location is a user in a week; its newest event is the current conditions, all its events are hours.
+LOCATION = "concat_ws('-', user_id, date_format(date_trunc('WEEK', ts), 'yyyyMMdd'))"
+
+
 def payload_text(spark, sf):
-    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = e.withColumn("rn", F.row_number().over(w)).filter("rn <= 30")
-    hourly = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.expr(
-        "named_struct('rn', rn, 'dt', event_id, 'pop', k / 100, 'value', value)"))).alias("hs"))
-    newest = e.groupBy("user_id").agg(F.expr("max_by(struct(k, value), struct(ts, event_id))").alias("c"))
+    e = table(spark, sf, "events").withColumns(
+        {"k": F.get_json_object("props", "$.k").cast("double"), "location_id": F.expr(LOCATION)})
+    both = e.groupBy("location_id").agg(
+        F.array_sort(F.collect_list(F.expr("named_struct('ts', ts, 'dt', event_id, 'pop', k / 100, 'value', value)"))).alias("hs"),
+        F.expr("max_by(struct(k, value), struct(ts, event_id))").alias("c"))
     body = F.expr("""to_json(named_struct('current', named_struct('temp', c.value, 'humidity', c.k, 'clouds', 100 - c.k,
       'rain', IF(c.value > 40, map(IF(c.k > 50, '1h', '3h'), c.value), NULL)), 'hourly', transform(hs, x -> named_struct('dt', x.dt, 'pop', x.pop,
         'rain', IF(x.value > 60, map(IF(x.dt % 2 = 0, '1h', '3h'), x.value), NULL))), 'daily', array(1, 2)))""")
-    return hourly.join(newest, "user_id").select(F.col("user_id").cast("string").alias("location_id"), body.alias("payload"))
+    return both.select("location_id", body.alias("payload"))
 
 
-SQL_PAYLOAD = """e AS (SELECT CAST(user_id AS VARCHAR) AS location_id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k, value,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events),
+SQL_PAYLOAD = """weekly AS (SELECT *, user_id || '-' || strftime(date_trunc('week', ts), '%Y%m%d') AS location_id, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS k FROM events),
+e AS (SELECT location_id, k, value, row_number() OVER (PARTITION BY location_id ORDER BY ts, event_id) AS rn,
+  row_number() OVER (PARTITION BY location_id ORDER BY ts DESC, event_id DESC) AS back FROM weekly),
 cur AS (SELECT location_id, k, value FROM e WHERE back = 1),
 hrs AS (SELECT location_id, list_sum(list(k / 100 ORDER BY rn)) AS pop_sum, count(*) FILTER (k / 100 > 0.3) AS pop_hours, count(*) FILTER (value > 60) AS rain_hours,
   count(*) AS n_hours FROM e WHERE rn <= 6 GROUP BY 1),
@@ -121,12 +123,15 @@ def rain_probability(spark, sf):
         "location_id", "rain_probability", "will_rain_next_6h", "confidence_level")
 
 
-@query(f"""WITH {SQL_PAYLOAD} SELECT CAST(c_custkey AS VARCHAR) AS location_id, coalesce({sql_exact('p', 3)}, 0.1) AS rain_probability,
+SECOND_WEEK = "CAST(c_custkey AS {text}) || '-20240108'"
+
+
+@query(f"""WITH {SQL_PAYLOAD} SELECT c.location_id, coalesce({sql_exact('p', 3)}, 0.1) AS rain_probability,
 coalesce(p > 0.3::DOUBLE, false) AS will_rain_next_6h, CASE WHEN p IS NULL OR p < 0.3::DOUBLE THEN 'low' WHEN p < 0.7::DOUBLE THEN 'medium' ELSE 'high' END AS confidence_level,
 CASE WHEN p IS NULL THEN 'fallback' ELSE 'real_time_estimator' END AS model_type
-FROM customer LEFT JOIN prob ON location_id = CAST(c_custkey AS VARCHAR)""")
+FROM (SELECT {SECOND_WEEK.format(text='VARCHAR')} AS location_id FROM customer) c LEFT JOIN prob ON prob.location_id = c.location_id""")
 def rain_for_locations(spark, sf):
-    known = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("location_id"))
+    known = table(spark, sf, "customer").select(F.expr(SECOND_WEEK.format(text="STRING")).alias("location_id"))
     return rain.rain_for_locations(known, parse_payloads(payload_text(spark, sf))).drop("current_conditions", "hourly_forecast")
 
 
