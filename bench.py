@@ -20,6 +20,9 @@ HEADLINE = [
     "climate_normals", "code_lookup", "radius_search", "nearest_stations", "station_merge", "nearest_grid_points",
     "grid_to_locations", "scaler_statistics", "supervised_windows", "sample_per_location", "split_exact", "scores_by_variable",
     "formatted_forecast", "rain_for_locations",
+    # Whole jobs, long windows and kept series.
+    "training_dataset", "forecaster_scores", "prediction_input", "latest_features", "dataset_statistics", "collected_series",
+    "long_windows", "kept_series",
 ]
 
 

@@ -195,7 +195,9 @@ def cutting_ranks(ranks: DataFrame, places: Callable[[int], Sequence[int]]) -> l
     wanted = places(sum(n for _, n, _, _ in counts))
     held = {k: _part_at(counts, 0, k) for k in wanted}
     while open_parts := {part for _, part, lo, hi in held.values() if lo != hi}:
-        step = min(ROUND_BITS, shift)
+        # Parts of few rows are told apart to the last bit at once.
+        few = sum(n for part, n, _, _ in counts if part in open_parts) <= 2**ROUND_BITS
+        step = shift if few else min(ROUND_BITS, shift)
         ranks = ranks.filter(F.shiftright(rank, shift).isin(sorted(open_parts)))
         shift -= step
         counts = _part_counts(ranks, rank, shift)

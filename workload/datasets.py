@@ -6,6 +6,7 @@ from isobar import constants as C
 from isobar.functions.timegrid import sql_seconds
 from isobar.operators import metrics, scaling, sequences
 from isobar.plans import forecasting, training
+from isobar.plans.stage import materialized
 from pyspark.sql import functions as F
 from workload.base import CHUNK, digits, merged_cells, observed, query, single, sql_digits, sql_merged, sql_observed, sql_single, table
 from workload.alignment import GAPPY, gappy
@@ -137,7 +138,7 @@ s AS (SELECT *, ceil(0.15::DOUBLE * n) AS n_test FROM r),
 q AS (SELECT *, n_test + ceil(0.15::DOUBLE / (1 - 0.15::DOUBLE) * (n - n_test)) AS upto FROM s)
 SELECT location_id, ts, CASE WHEN i < n_test THEN 'test' WHEN i < upto THEN 'val' ELSE 'train' END AS split FROM q""")
 def split_exact(spark, sf):
-    m = merged_cells(spark, sf, 15, "user_id").select("location_id", "ts")
+    m = materialized(merged_cells(spark, sf, 15, "user_id").select("location_id", "ts"))
     return sequences.split_exact(m, ["location_id", "ts"], rank=F.conv(F.substring(rank(), 1, 15), 16, 10).cast("long"))
 
 
