@@ -202,8 +202,8 @@ def shown(df):
 
 
 def fitted(spark, sf):
-    o = observed(spark, sf)
-    return o, scaling.fit_scaler(training.model_rows(o, CHUNK), list(MODEL_SQL))
+    o = materialized(observed(spark, sf))
+    return o, scaling.fit_scaler(materialized(training.model_rows(o, CHUNK)), list(MODEL_SQL))
 
 
 @query(sql_scaled_tail(24))
