@@ -61,10 +61,10 @@ def with_halo(df: DataFrame, keys: Sequence[str], pos: str = "pos", before: int
     """
     chunks = f"sequence({sql_chunk(f'{pos} - {after}', chunk)}, {sql_chunk(f'{pos} + {before}', chunk)})"
     spread = df.withColumn(CHUNK_COL, F.expr(f"explode({chunks})"))
-    return spread.repartition(_partitions(df), *keys, CHUNK_COL)
+    return spread.repartition(shuffle_partitions(df), *keys, CHUNK_COL)
 
 
-def _partitions(df: DataFrame) -> int:
+def shuffle_partitions(df: DataFrame) -> int:
     """The session's number of shuffle partitions, stated so that small-looking ones are not merged:
     the rows of a chunk multiply after the shuffle, in number or in width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -135,7 +135,7 @@ def neighbours(rows: DataFrame, keys: Sequence[str], pos: str, values: Sequence[
     together = (
         tagged.withColumn("_marker", F.lit(False))
         .unionByName(markers, allowMissingColumns=True)
-        .repartition(_partitions(rows), *groups)
+        .repartition(shuffle_partitions(rows), *groups)
     )
 
     types = {f.name: f.dataType.simpleString() for f in tagged.schema.fields}

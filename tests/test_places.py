@@ -160,3 +160,15 @@ def test_stratified_sample_quotas(spark):
     assert got == ["31"] * 4 + ["32"] * 3 + ["33"] * 3
     few = df.filter("location_id >= '33005'")
     assert locations.stratified_sample(few, 10).count() == few.count()
+
+
+def test_radius_search_of_small_tables_is_dealt_over_tasks(spark):
+    """Few bytes, many pairs: cells go to all shuffle partitions, a crowded cell's centers to several."""
+    rng = random.Random(5)
+    rows = lambda name, n: [(f"{name}{i}", 28 + rng.uniform(0, 0.2), -106 + rng.uniform(0, 0.2)) for i in range(n)] + [(None, None, -106.0)]
+    c = spark.createDataFrame(rows("c", 200), "center_id string, lat double, lon double").coalesce(1)
+    p = spark.createDataFrame(rows("p", 300), "location_id string, lat double, lon double").coalesce(1)
+    near = locations.within_radius(c, p, 60, capacity=10)
+    assert near.count() == 200 * 300 and near.columns == ["center_id", "lat", "lon", "location_id", "_plat", "_plon", "distance_km"]
+    used = near.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert near.rdd.getNumPartitions() == 8 and used > 4
