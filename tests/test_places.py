@@ -172,3 +172,18 @@ def test_radius_search_of_small_tables_is_dealt_over_tasks(spark):
     assert near.count() == 200 * 300 and near.columns == ["center_id", "lat", "lon", "location_id", "_plat", "_plon", "distance_km"]
     used = near.select(F.spark_partition_id().alias("p")).distinct().count()
     assert near.rdd.getNumPartitions() == 8 and used > 4
+
+
+def test_ranks_come_in_order_by_one_shuffle(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "c", None]), f"p{i % 90:02d}", rng.choice([0.0, 4.0, 5.0, rng.uniform(0, 60)])) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "center_id string, location_id string, distance_km double")
+    ranked = locations.ranked_by_distance(pairs, 5.0)
+    got = [(r.center_id or "", r["rank"], r.distance_km, r.location_id) for r in ranked.collect()]
+    want = []
+    for c in ("", "a", "b", "c"):
+        mine = sorted((d, p) for x, p, d in rows if (x or "") == c)
+        want += [(c, i, d, p) for i, (d, p) in enumerate(mine, 1)]
+    assert got == want
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Sort" not in plan
