@@ -187,3 +187,15 @@ def test_ranks_come_in_order_by_one_shuffle(spark):
     assert got == want
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Sort" not in plan
+
+
+def test_grid_columns_are_worked_out_once_per_grid_row(spark):
+    """Many locations at one point: a column of the grid is computed before the rows are repeated."""
+    g = spark.createDataFrame([(28.0, -106.0, 280.0 + i) for i in range(5)] + [(20.0, -106.0, 1.0)], "latitude double, longitude double, t2m double")
+    points = spark.createDataFrame([(f"l{i}", 28.0, -106.0) for i in range(50)], "location_id string, grid_lat double, grid_lon double")
+    rows = grids.rows_at_points(g, points)
+    assert rows.count() == 5
+    out = grids.extract_points(rows.withColumn("t", F.round(F.exp("t2m"), 3)), points, deal=True)
+    assert out.count() == 250 and out.distinct().count() == 250
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Repartition") < plan.index("round(")
