@@ -70,11 +70,13 @@ def wind_chill(temp: Column, speed_ms: Column, v_unit: str = "ms") -> Column:
     return F.when(cold, 13.12 + 0.6215 * temp - 11.37 * power + 0.3965 * temp * power).otherwise(temp)
 
 
-def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance on a sphere of mean earth radius."""
+def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, cos1: Column | None = None, cos2: Column | None = None) -> Column:
+    """Haversine distance on a sphere of mean earth radius; ``cos1`` and ``cos2`` are the latitudes' cosines where they are known."""
     dlat = F.radians(lat2 - lat1) / 2
     dlon = F.radians(lon2 - lon1) / 2
-    a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
+    cos1 = F.cos(F.radians(lat1)) if cos1 is None else cos1
+    cos2 = F.cos(F.radians(lat2)) if cos2 is None else cos2
+    a = F.sin(dlat) * F.sin(dlat) + cos1 * cos2 * F.sin(dlon) * F.sin(dlon)
     return 2 * C.EARTH_RADIUS_KM * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 

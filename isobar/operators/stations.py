@@ -57,7 +57,7 @@ def nearest_stations(locations: DataFrame, stations: DataFrame, radius_km: float
 
     reach = _reach(root)
     top = cells(0).selectExpr("named_struct('r', _r, 'c', _c) AS _box", "_n", "_clat AS lat", "_clon AS lon")
-    front = within_radius(places, top, radius_km + reach, "_place", "_box", salts, keep=["_n"]).selectExpr(
+    front = within_radius(places, top, radius_km + reach, "_place", "_box", salts, keep=["_n"], copied="points").selectExpr(
         "lat", "lon", "_box.r AS _r", "_box.c AS _c", "_n", "distance_km AS _km")
     front = _possible(front, k, radius_km, reach)
     for level in range(1, depth + 1):

@@ -199,3 +199,54 @@ def test_grid_columns_are_worked_out_once_per_grid_row(spark):
     assert out.count() == 250 and out.distinct().count() == 250
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Repartition") < plan.index("round(")
+
+
+def shuffled_rows(df):
+    """Rows that all shuffles of a frame write, counted as it runs."""
+    df._jdf.collectToPython()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return walk(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_radius_search_shuffles_its_inputs_not_their_product(spark):
+    """Points were copied to nine cells for each 256 centers, and dealt twice, so the shuffle grew with the product."""
+    rng = random.Random(7)
+    rows = lambda name, n: [(f"{name}{i}", 28 + rng.uniform(0, 0.5), -106 + rng.uniform(0, 0.5)) for i in range(n)]
+    c = spark.createDataFrame(rows("c", 400), "center_id string, lat double, lon double")
+    p = spark.createDataFrame(rows("p", 3000), "location_id string, lat double, lon double")
+    near = locations.within_radius(c, p, 60).select("center_id", "location_id", "distance_km")
+    assert shuffled_rows(near) < 3000 + 9 * 400 + 500
+
+
+@pytest.mark.parametrize("copied", ["centers", "points"])
+@pytest.mark.parametrize("radius,lat,capacity", [(30, 28.0, 3), (500, 88.0, 7), (0.001, 28.0, 2)])
+def test_crowded_cells_are_cut_on_both_sides(spark, copied, radius, lat, capacity):
+    rng = random.Random(8)
+    size = radius / 60
+    spot = lambda: (min(lat + rng.uniform(0, size), 90.0), (rng.uniform(-180, 180) if lat > 80 else -106 + rng.uniform(0, size)))
+    cen = [(rng.choice([None, f"c{i}"]), *spot()) for i in range(60)] + [("twice", 28.0, -106.0)] * 2
+    pts = [(rng.choice([None, f"p{i}"]), *spot()) for i in range(150)] + [("twice", 28.0, -106.0)] * 3
+    c = spark.createDataFrame([*cen, ("x", None, 1.0)], "center_id string, lat double, lon double")
+    p = spark.createDataFrame([*pts, ("y", float("nan"), 1.0)], "location_id string, lat double, lon double")
+    got = locations.within_radius(c, p, radius, salts=2, capacity=capacity, copied=copied).collect()
+    found = sorted((r.lat, r.lon, r._plat, r._plon, r.center_id or "", r.location_id or "") for r in got)
+    want = [(*a, *b, i or "", j or "") for i, *a in cen for j, *b in pts if km(a, b) <= radius]
+    assert found == sorted(want) and want
+    assert all(r.distance_km == pytest.approx(km((r.lat, r.lon), (r._plat, r._plon)), abs=1e-9) for r in got)
+
+
+def test_digits_of_a_column_are_those_of_round(spark):
+    from workload.base import digits, digits_of
+    rng = random.Random(9)
+    values = [0.0, -0.0, 1e-7, -1e-7, 5e-7, 0.0000015, -2.5e-6, 1.0000005, 2.675, 59.9999995, 59.9999994999, 99999.9999999, 1e5, 1e17, -1e300,
+              float("nan"), float("inf"), None, *[rng.uniform(-1, 1) * 10 ** rng.randint(-8, 8) for _ in range(3000)],
+              *[(2 * rng.randint(0, 10**8) + 1) / 2e6 for _ in range(1000)], *[rng.randint(0, 10**9) / 1e6 for _ in range(500)]]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select(digits("v", 6).alias("a"), digits_of("v", 6).alias("b"))
+    assert all(repr(r.a) == repr(r.b) for r in df.collect())

@@ -7,7 +7,7 @@ from isobar.functions import normals, physics
 from isobar.operators import locations, stations
 from isobar.plans.stage import materialized
 from pyspark.sql import functions as F
-from workload.base import digits, place, query, sql_digits, sql_km, sql_place, table
+from workload.base import digits, digits_of, place, query, sql_digits, sql_km, sql_place, table
 
 # A raw code table: codes repeat, some coordinates are no numbers or outside the box, states vary.
 RAW_STATE = "CASE c_custkey % 4 WHEN 0 THEN '08' WHEN 1 THEN 'Chihuahua' WHEN 2 THEN '05' ELSE 'CHIHUAHUA' END"
@@ -113,7 +113,7 @@ FROM s, c WHERE {sql_km('s.lat', 's.lon', 'c.lat', 'c.lon')} <= 60""")
 def radius_search(spark, sf):
     centers = places(spark, sf, "supplier", "s_suppkey", "center_id")
     pairs = locations.within_radius(centers, places(spark, sf, "customer", "c_custkey", "location_id"), 60)
-    return pairs.select("center_id", "location_id", digits("distance_km").alias("distance_km"))
+    return pairs.select("center_id", "location_id", digits_of("distance_km").alias("distance_km"))
 
 
 @query(f"""WITH {SQL_PLACES}, d AS (SELECT s.station_id AS center_id, c.location_id, {sql_km('s.lat', 's.lon', 'c.lat', 'c.lon')} AS km FROM s, c),
