@@ -1,11 +1,15 @@
 """Locations, stations and grids against brute force and known values."""
 
+import functools
 import math
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import workload
 from isobar import constants as C
 from isobar.operators import grids, locations, stations
 from isobar.sources import tables
@@ -250,3 +254,32 @@ def test_digits_of_a_column_are_those_of_round(spark):
               *[(2 * rng.randint(0, 10**8) + 1) / 2e6 for _ in range(1000)], *[rng.randint(0, 10**9) / 1e6 for _ in range(500)]]
     df = spark.createDataFrame([(v,) for v in values], "v double").select(digits("v", 6).alias("a"), digits_of("v", 6).alias("b"))
     assert all(repr(r.a) == repr(r.b) for r in df.collect())
+
+
+@pytest.mark.parametrize("lat,work", [(28.0, 16_000_000), (28.0, 500), (89.5, 900)])
+def test_ranks_of_shares_need_no_shuffle_of_pairs(spark, lat, work):
+    """Pairs were kept as a table and shuffled; now only centers and points are, however many shares there are."""
+    rng = random.Random(11)
+    spot = lambda: (min(lat + rng.uniform(0, 0.7), 90.0), rng.uniform(-180, 180) if lat > 80 else -106 + rng.uniform(0, 0.7))
+    cen = [(f"c{i}", *spot()) for i in range(40)] + [("c50", 28.0, -106.0)] * 2
+    pts = [(f"p{i:03d}", *spot()) for i in range(300)] + [("p007", 28.0, -106.0)] * 3 + [(None, 28.0, -106.0)]
+    c = spark.createDataFrame([*cen, ("x", None, 1.0)], "center_id string, lat double, lon double")
+    p = spark.createDataFrame([*pts, ("y", float("nan"), 1.0)], "location_id string, lat double, lon double")
+    shares = locations.within_radius_of_shares(c, p, 60, work=work)
+    assert (len(shares) > 1) == (work < 1000)
+    ranked = [locations.ranked_by_distance(s, 5.0, dealt_by=locations.CELL) for s in shares]
+    out = functools.reduce(DataFrame.unionAll, ranked).select("center_id", "location_id", "distance_km", "rank")
+    got = sorted((r.center_id, r["rank"], r.location_id or "", r.distance_km) for r in out.collect())
+    near = [(a, km(x, y), b or "") for a, *x in cen for b, *y in pts if km(x, y) <= 60]
+    counts = {a: sum(n[0] == a for n in near) for a, _, _ in near}
+    assert [(g[0], g[1]) for g in got] == [(a, i) for a in sorted(counts) for i in range(1, counts[a] + 1)] and len(near) > 4000
+    assert sorted((g[0], g[2]) for g in got) == sorted((a, b) for a, _, b in near)
+    assert all(g[3] <= h[3] and (g[3] < h[3] or g[2] <= h[2]) for g, h in zip(got, got[1:]) if g[0] == h[0])
+    assert shuffled_rows(out) < 3 * 5 * len(pts) < len(near)
+
+
+def test_ranked_query_neither_keeps_nor_shuffles_pairs(spark):
+    kept = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).glob("isobar-*"))
+    before = kept()
+    assert shuffled_rows(workload.QUERIES["radius_search_ranked"](spark, "/root/testdata/sf0.01")) < 10_000
+    assert kept() == before
