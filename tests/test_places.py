@@ -283,3 +283,31 @@ def test_ranked_query_neither_keeps_nor_shuffles_pairs(spark):
     before = kept()
     assert shuffled_rows(workload.QUERIES["radius_search_ranked"](spark, "/root/testdata/sf0.01")) < 10_000
     assert kept() == before
+
+
+def test_grid_rows_meet_lists_of_locations_by_one_shuffle(spark):
+    """Rows met locations one by one, dealt twice and by point when locations were many; now a point's locations come as lists."""
+    rng = random.Random(12)
+    spots = [(28.0, -106.0), (28.5, -106.0), (0.0, -0.0), (None, -106.0)]
+    g = spark.createDataFrame([(*rng.choice(spots), i, rng.choice([None, 1.5])) for i in range(400)] + [(28.0, -106.0, 7, 2.0)] * 2,
+                              "latitude double, longitude double, k int, t2m double")
+    named = [(rng.choice([None, f"l{i}"]), *rng.choice([(28.0, -106.0), (28.5, -106.0), (-0.0, 0.0), (None, None)])) for i in range(200)]
+    points = spark.createDataFrame([*named, ("l0", 28.0, -106.0)], "location_id string, grid_lat double, grid_lon double")
+    before = grids.LIST
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        grids.LIST = 10
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = grids.extract_points(g, points, deal=True)
+        plain = grids.extract_points(g, points)
+        assert out.columns == plain.columns
+        key = lambda r: [(x is not None, x) for x in r]
+        got, want = (sorted(df.collect(), key=key) for df in (out, plain))
+        shuffled = shuffled_rows(out)
+    finally:
+        grids.LIST = before
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert got == want and len(want) > 10_000
+    assert shuffled < 400 + 3 * 200 + 8 * 60
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(_ids") < plan.index("Join Inner") < plan.index("RepartitionByExpression [_point")
